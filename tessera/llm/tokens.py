@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -45,8 +46,9 @@ class Encoder:
         raise NotImplementedError
 
     def encode(self, text: str) -> np.ndarray:
-        odd = any(s in text for s in self.specials)
-        return np.array((self.whole(text) if odd else self.ids(text)) + self.end, np.uint32)
+        found = self.whole(text) if any(s in text for s in self.specials) else self.ids(text)
+        found += self.end
+        return np.frombuffer(array("I", found), np.uint32)
 
 
 class ByteEncoder(Encoder):
@@ -95,9 +97,8 @@ class WordEncoder(Encoder):
             body, end = (token[: -len(mark)], b"\0") if token.endswith(mark) else (token, b"")
             if all(symbols.get(c) for c in body):
                 ranks[bytes(symbols[c] for c in body) + end] = i
-        self.spare = max(self.vocabulary.values()) + 1000
-        for b in range(256):
-            ranks.setdefault(bytes([b]), self.spare + b)
+        for b in range(256):  # the engine wants all bytes; those that are no tokens occur in no UTF-8 text, or only marked
+            ranks.setdefault(bytes([b]), max(self.vocabulary.values()) + 1000 + b)
         # the ids of marked bytes are below those of all other merges, so a word's last byte takes its mark first
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\s\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -107,25 +108,27 @@ class WordEncoder(Encoder):
     def ids(self, text: str) -> list[int]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if any(c in text for c in "\0ΣİͅẞϴKÅΩ"):
+            if any(c in text for c in "\u0130\u0345\u03a3"):  # their lower case depends on context
+                return self.whole(text)
+        if "\0" in text:
             return self.whole(text)
-        out = self.merge(self.marked(text.lower()))
-        return out if not out or max(out) < self.spare else self.whole(text)
+        return self.merge(self.marked(text.lower()))
 
     def marked(self, text: str) -> str:
         if "'" in text and self.short(text):
             return self.pieces.sub(lambda m: m[0] + "\0", text)
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        kinds = self.classes[np.minimum(chars, 0xFFFF)]
-        for c in np.unique(chars[chars >= 0xFFFF]):
-            kinds[chars == c] = _class_of(chr(c))
+        try:  # mostly a byte a character does
+            coding, chars = "latin-1", np.frombuffer(text.encode("latin-1"), np.uint8)
+            kinds = self.classes[chars]
+        except UnicodeEncodeError:
+            coding, chars = "utf-32-le", np.frombuffer(text.encode("utf-32-le"), "<u4")
+            kinds = self.classes[np.minimum(chars, 0xFFFF)]
+            for c in np.unique(chars[chars >= 0xFFFF]):
+                kinds[chars == c] = _class_of(chr(c))
         ends = kinds != SPACE
         ends[:-1] &= (kinds[:-1] != kinds[1:]) | (kinds[:-1] == NUMBER)
-        at = np.arange(len(chars))
-        at[1:] += np.cumsum(ends[:-1])
-        out = np.zeros(len(chars) + int(ends.sum()), "<u4")
-        out[at] = chars
-        return out.tobytes().decode("utf-32-le")
+        places = np.flatnonzero(ends)
+        return np.insert(chars, places + 1, 0).tobytes().decode(coding)
 
 
 _LOADED: dict[tuple, Encoder] = {}

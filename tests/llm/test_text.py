@@ -160,7 +160,7 @@ def test_documents(spark):
     kept = {x["doc_id"] for x in language_id.drop_rejected(more).collect()}
     assert kept == set(range(90))
     foreign = [(1, " ".join(["qzx", "xqj", "zzq"] * 40)), (2, WORDS["fr"])]
-    fused = language_id.fuse(spark.createDataFrame([(i, t, None, None, None, None) for i, t in foreign], "id long, text string, declared string, suffix string, host string, site string"), language_id.fit(docs))
+    fused = language_id.fuse(spark.createDataFrame([(i, t, None, None, None, None) for i, t in foreign], "id long, text string, declared string, suffix string, host string, site string"), language_id.fit(labelled(spark, 3000)[1]))
     assert {x["id"]: x["accepted"] for x in fused.collect()} == {1: False, 2: True}
     held_out = language_id.fit(docs.where("doc_id < 45"))
     right = [held_out.languages[int(np.argmax(held_out.scores(t)[0]))] == lang for _, t, lang, _ in rows[45:]]
