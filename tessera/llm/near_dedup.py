@@ -4,12 +4,14 @@ A document's set holds its distinct k-word shingles (64-bit hashes). Equal sets
 goes on. A forest of TREES trees orders the classes by runs of min-hash values: a tree's region is a shared prefix of
 WIDTH values, and where a region is crowded its depth adapts, up to 2 * WIDTH values. Rows are range-partitioned by
 (tree, prefix, deeper prefix) and sorted, so a crowded region spreads over tasks, and candidates are neighbours of
-longest common prefix within a sorted run. There are two rounds:
+longest common prefix within a sorted run. There are three rounds:
 
-* the first takes FIRST_TREES trees and pairs each row with the first of its region, the first of its deeper region and
+* the first takes FIRST_TREES trees and pairs each row with the smallest of its region and of its deeper region, and
   its neighbour. Verified links give components;
-* the second takes all trees and pairs rows of one region that are not connected yet. Groups that are connected yield
-  nothing, so a large group of near copies costs no square of its size.
+* the second does so in all trees, with rows that aren't connected yet;
+* the third takes up all rows of one region that still aren't connected: those outside the region's largest component
+  are tested against that component's members, block by block in one task each, and paired with each other. Groups that
+  are connected yield nothing, so a large group of near copies costs no square of its size.
 
 Every pair is filtered by an estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
 shares no region with probability (1 - 0.8^WIDTH)^TREES = 3e-6.
@@ -31,6 +33,8 @@ TREES, WIDTH, FIRST_TREES = 32, 5, 4
 VALUES = TREES * WIDTH
 #: Components in one region above which its depth adapts, and then the neighbours that a row is paired with.
 CROWDED, NEIGHBOURS = 48, 6
+#: Rows of a block when rows are tested against the members of a component.
+TESTS, MEMBERS = 256, 512
 #: How far below the threshold the estimate of a pair may be (six standard deviations at 0.8).
 SLACK = 0.2
 
@@ -137,44 +141,113 @@ def _emit(chunks):
     yield _pairs(left, right)
 
 
-def first_pairs(found):
+def linking_pairs(found):
+    """A few pairs of each row: with the smallest rep of its region and of its deeper region (an original mostly comes
+    before its copies), and with its neighbour; of these, the ones that aren't connected yet."""
+
     def chunks():
-        for deeper, rep, _ in _runs(found):
-            yield rep[1:], np.full(len(rep) - 1, rep[0])
-            yield rep[1:], rep[:-1]
+        for deeper, rep, comp in _runs(found):
             starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
-            heads = np.repeat(rep[starts], np.diff(np.r_[starts, len(rep)]))
-            yield rep[rep != heads], heads[rep != heads]
+            sizes = np.diff(np.r_[starts, len(rep)])
+            heads = np.repeat(starts, sizes)  # rows of one deeper region are in order of rep
+            least = np.full(len(rep), int(np.argmin(rep)))
+            for other in (least, heads, np.maximum(np.arange(len(rep)) - 1, 0)):
+                differ = comp != comp[other]
+                yield rep[differ], rep[other][differ]
 
     return _emit(chunks())
 
 
-def open_pairs(found):
-    """Pairs of rows of one region whose components differ: all, or where there are many components, all within the
-    deeper regions and neighbours in sorted order elsewhere."""
+def open_rows(found):
+    """Of rows of one region whose components differ: (rep, component) for each row outside the region's largest
+    component, which is to be tested against that component's members; and, with component null, pairs of rows that are
+    both outside: all, or where there are many components, all within the deeper regions and neighbours elsewhere."""
 
-    def across(rep, comp):
-        names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-        largest = int(np.argmax(n))
-        for i in np.flatnonzero(at != largest).tolist():
-            # each pair once: with the largest component, and with later rows of others
-            other = (at == largest) | ((at != at[i]) & (np.arange(len(rep)) > i))
-            yield np.full(int(other.sum()), rep[i]), rep[other]
+    def outside(rep, comp):
+        for i in range(len(rep) - 1):
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            yield rep[other], np.full(len(other), rep[i])
 
     def chunks():
         for deeper, rep, comp in _runs(found):
-            if len(np.unique(comp)) <= CROWDED:
-                yield from across(rep, comp)
+            names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+            largest = int(np.argmax(n))
+            rest = at != largest if n[largest] > 1 else np.ones(len(rep), bool)
+            if not rest.all():
+                yield rep[rest], np.full(int(rest.sum()), names[largest]), True
+            deeper, rep, comp = deeper[rest], rep[rest], comp[rest]
+            if len(names) <= CROWDED:
+                yield from ((*pair, False) for pair in outside(rep, comp))
                 continue
             starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
             for a, b in zip(starts, np.r_[starts[1:], len(rep)], strict=True):
-                if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    yield from across(rep[a:b], comp[a:b])
+                yield from ((*pair, False) for pair in outside(rep[a:b], comp[a:b]))
             for step in range(1, NEIGHBOURS + 1):
                 differ = comp[step:] != comp[:-step]
-                yield rep[step:][differ], rep[:-step][differ]
+                yield rep[step:][differ], rep[:-step][differ], False
 
-    return _emit(chunks())
+    held, size = [], 0
+    for a, b, tests in chunks():
+        held.append((a, b, np.full(len(a), tests)))
+        size += len(a)
+        if size > 200_000:
+            yield _opened(held)
+            held, size = [], 0
+    if held:
+        yield _opened(held)
+
+
+def _opened(held) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "tests"])
+
+
+def tested(tests: DataFrame, members: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """Links of rows with members of components: tests (rep, comp), members (rep, comp). Both sides of a component are dealt
+    into blocks, and each pair of blocks is compared in one task, so that rows grow with the blocks and not with the
+    pairs; only links come out."""
+    if tests.isEmpty():
+        return tests.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+    tests = scratch.keep(tests, "tests")
+    n_tests = tests.groupBy("comp").agg(F.ceil(F.count("*") / TESTS).alias("n_tests"))
+    sizes = scratch.keep(members.join(n_tests, "comp").groupBy("comp", "n_tests").agg(F.ceil(F.count("*") / MEMBERS).alias("n_members")), "sizes")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = tests.join(sizes, "comp").select("comp", "rep", block("n_tests").alias("x"), spread("n_members").alias("y"), F.lit(True).alias("test"))
+    two = members.join(sizes, "comp").select("comp", "rep", spread("n_tests").alias("x"), block("n_members").alias("y"), F.lit(False).alias("test"))
+    dealt = scratch.keep(one.unionByName(two).withColumn("block", F.xxhash64("comp", "x", "y")).select("block", "rep", "test"), "dealt")
+    sets = _sets(dealt.select(F.col("rep").alias("doc_id")), docs, k, scratch)
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(sets, dealt["rep"] == sets["doc_id"]).select("block", "rep", "test", "shingles").repartition(shards, "block").sortWithinPartitions("block")
+
+    def compare(found):
+        held: list[tuple] = []
+        now = None
+        for batch in found:
+            for key, rep, test, shingles in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if key.as_py() != now:
+                    yield _linked(held, numerator, denominator)
+                    held, now = [], key.as_py()
+                held.append((rep.as_py(), test.as_py(), np.frombuffer(shingles.as_buffer(), np.uint64)))
+        yield _linked(held, numerator, denominator)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _linked(held, numerator: int, denominator: int) -> pa.RecordBatch:
+    """Links between the tests and the members of one pair of blocks."""
+    members = [(rep, s) for rep, test, s in held if not test]
+    left, right = [], []
+    if members:
+        reps, sizes = np.array([rep for rep, _ in members]), np.array([len(s) for _, s in members])
+        every, starts = np.concatenate([s for _, s in members]), np.cumsum(sizes) - sizes
+        for rep, test, own in held:
+            if test:
+                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                shared = np.add.reduceat((own[at] == every).astype(np.int64), starts)
+                good = denominator * shared >= numerator * (sizes + len(own) - shared)
+                left.append(np.full(int(good.sum()), rep))
+                right.append(reps[good])
+    return _pairs(left, right)
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -194,16 +267,21 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
-    """The pairs with denominator * intersection >= numerator * union of their full sets."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids, shingles being sorted 64-bit hashes; written."""
+    ids = scratch.keep(ids.distinct(), "ids")
 
     def shingle(found):
         for batch in found:
             sets = [s.tobytes() for s in sets_of(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    sets = scratch.keep(only_ids(docs, ids, ids.count()).select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary"), "sets")
+    return scratch.keep(only_ids(docs, ids, ids.count()).select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """The pairs with denominator * intersection >= numerator * union of their full sets."""
+    sets = _sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, k, scratch)
 
     def compare(found):
         for batch in found:
@@ -240,17 +318,30 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
     sketches = forest.select("rep", "sketch")
     alone = forest.select("rep", F.col("rep").alias("comp"), "prefixes")
 
-    def links(rows, trees, pairing, name):
-        pairs = scratch.keep(_regions(rows, trees, shards).mapInArrow(pairing, "a long, b long").where("a != b").distinct(), f"pairs-{name}")
+    def links(pairs, name):
+        pairs = scratch.keep(pairs.where("a != b").distinct(), f"pairs-{name}")
         chosen = scratch.keep(likely(pairs, sketches, numerator / denominator), f"likely-{name}")
         return scratch.keep(verified(chosen, docs, k, numerator, denominator, scratch), f"links-{name}")
 
-    first = links(alone, FIRST_TREES, first_pairs, "first")
-    joined = components(first, scratch)
-    connected = alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    second = links(connected.select("rep", F.coalesce("component", "rep").alias("comp"), "prefixes"), TREES, open_pairs, "second")
-    if not second.isEmpty():  # what the first round connected counts as one node
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch)
+    def regions(joined, trees):
+        rows = alone
+        if joined is not None:
+            rows = alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "prefixes")
+        return _regions(rows, trees, shards)
+
+    def join_more(joined, more):
+        if more.isEmpty():
+            return joined
+        # what was connected before counts as one node
+        return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+    joined = components(links(regions(None, FIRST_TREES).mapInArrow(linking_pairs, "a long, b long"), "first"), scratch)
+    joined = join_more(joined, links(regions(joined, TREES).mapInArrow(linking_pairs, "a long, b long"), "second"))
+    opened = scratch.keep(regions(joined, TREES).mapInArrow(open_rows, "a long, b long, tests boolean").distinct(), "open")
+    third = links(opened.where("not tests").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "third")
+    tests = opened.where("tests").select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    third = third.unionByName(scratch.keep(tested(tests, joined.select(F.col("node").alias("rep"), F.col("component").alias("comp")), docs, k, numerator, denominator, scratch), "tested"))
+    joined = join_more(joined, third)
     found = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     found = found.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     class_id = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
