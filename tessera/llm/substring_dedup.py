@@ -225,23 +225,37 @@ def suffix_order(chars: np.ndarray, prefix: np.ndarray, at: np.ndarray, group: n
     return order
 
 
-def repeated_windows(data: bytes, starts: np.ndarray, windows: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Segments stand in data at starts, in order of group, then of place in the corpus. For all their windows in that
-    order: does an equal one of the group stand before it?"""
+def repeated_windows(data: bytes, starts: np.ndarray, windows: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Segments stand in data at starts, in order of anchor, then of place in the corpus. For all their windows in that
+    order: does an equal one stand before it? Equal windows hold their anchor at one distance from their start, so the
+    suffixes are sorted in groups of anchor and distance, which are small."""
     chars, total = np.frombuffer(data, np.uint8), int(windows.sum())
     prefix = prefix_hashes(chars)
+    sizes = windows + length - 1
+    each = np.arange(len(chars) - gram + 1)
+    hashes = mix(range_hashes(prefix, each, each + gram)).view(np.int64)
+    places = np.flatnonzero(hashes == np.repeat(anchor, sizes)[: len(hashes)])
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(total)
-    order = suffix_order(chars, prefix, at, np.repeat(group, windows), length)
-    groups = np.repeat(group, windows)[order]
-    a, b = at[order[:-1]], at[order[1:]]
+    distance = places[np.searchsorted(places, at)] - at
+    fresh = np.concatenate([[0], anchor[1:] != anchor[:-1]])
+    key = np.repeat(np.cumsum(fresh), windows) * (length + 1) + distance
+    first = np.argsort(key, kind="stable")
+    group = np.cumsum(np.concatenate([[0], key[first][1:] != key[first][:-1]]))
+    many = (np.bincount(group) > 1)[group]
+    first, group = first[many], group[many]
+    out = np.zeros(total, bool)
+    if not len(first):
+        return out
+    order = suffix_order(chars, prefix, at[first], group, length)
+    groups, sorted_at = group[order], at[first][order]
+    a, b = sorted_at[:-1], sorted_at[1:]
     equal = (groups[1:] == groups[:-1]) & (range_hashes(prefix, a, a + length) == range_hashes(prefix, b, b + length))
     maybe = np.flatnonzero(equal)
     for k in range(0, len(maybe), 20_000):  # byte by byte
         few = maybe[k : k + 20_000]
         span = np.arange(length)
         equal[few] = (chars[a[few, None] + span] == chars[b[few, None] + span]).all(axis=1)
-    out = np.zeros(total, bool)
-    out[order[1:][equal]] = True  # the sort is stable: the first of equal windows is the earliest
+    out[first[order[1:][equal]]] = True  # the sort is stable: the first of equal windows is the earliest
     return out
 
 
@@ -250,7 +264,7 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def _settled(length: int):
+def _settled(length: int, gram: int):
     """Open segments with their bytes, by anchor: the runs of repeated windows in them."""
 
     def run(found):
@@ -266,8 +280,7 @@ def _settled(length: int):
                 parts = [x.as_py() for x in raw.slice(i, j - i)]
                 at = np.cumsum([0, *map(len, parts)])[:-1]
                 count = windows[i:j].astype(np.int64)
-                group = np.cumsum(np.concatenate([[0], anchor[i + 1 : j] != anchor[i : j - 1]]))
-                flags = repeated_windows(b"".join(parts), at, count, group, length)
+                flags = repeated_windows(b"".join(parts), at, count, anchor[i:j], length, gram)
                 # a run may go over from one segment to the next in this order: cut it there
                 owner = np.repeat(np.arange(j - i), count)
                 first = np.cumsum(count) - count
@@ -303,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scra
 
     cut_out = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, "anchor long, doc_id long, start long, windows int, bytes binary")
     open_ = cut_out.repartition(shards, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    return known.unionByName(open_.mapInArrow(_settled(length), "doc_id long, start long, windows int"))
+    return known.unionByName(open_.mapInArrow(_settled(length, gram), "doc_id long, start long, windows int"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
