@@ -11,7 +11,7 @@ slot by their rank among the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,8 +23,9 @@ from .common import Scratch, texts
 
 #: Pieces that one rank window may hold, on average; more pieces of a length are ranked in more windows.
 RANKED_TOGETHER = 100_000
-#: Underfull sequences that the local search takes up at once, emptiest first, and exchanges it may make.
-SEARCH_BINS, SEARCH_MOVES = 400, 20_000
+#: Underfull sequences that the local search takes up, emptiest first; exchanges that it makes, and pairs of sequences
+#: that it looks at in vain, before it stops. All sequences stay; these bound the search's time alone.
+SEARCH_BINS, SEARCH_MOVES, SEARCH_TRIES = 100, 20_000, 20_000
 
 Pattern = tuple[int, ...]
 
@@ -77,13 +78,22 @@ def local_search(patterns: Counter, capacity: int) -> Counter:
         done[pattern] -= take
         if len(loose) == SEARCH_BINS:
             break
-    fixed = sum(done.values())
+    fixed, tries, vain = sum(done.values()), 0, set()
     for _ in range(SEARCH_MOVES):
         loose = [b for b in loose if b]
         if fixed + len(loose) <= least:
             break
         loose.sort(key=lambda b: (sum(b), b))
-        if not any(_improve(loose[i], loose[j], capacity) for i in range(len(loose)) for j in range(len(loose) - 1, i, -1)):
+        better = False
+        for i, j in ((i, j) for i in range(len(loose)) for j in range(len(loose) - 1, i, -1)):
+            pair = (tuple(loose[i]), tuple(loose[j]))
+            if pair not in vain:
+                better = _improve(loose[i], loose[j], capacity)
+                if better or tries > SEARCH_TRIES:
+                    break
+                vain.add(pair)
+                tries += 1
+        if not better:
             break
     return +(done + Counter(tuple(sorted(b, reverse=True)) for b in loose if b))
 
@@ -99,17 +109,28 @@ def _improve(low: list[int], high: list[int], capacity: int) -> bool:
         high.append(best)
         return True
     gain, best_in, best_out = 0, (), ()
-    sizes = sorted(set(low))
-    many = Counter(low)
-    pairs = [(x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or many[x] > 1]
-    for out in set(high):
-        for into in [(x,) for x in sizes] + pairs:
-            if gain < sum(into) - out <= room:
-                gain, best_in, best_out = sum(into) - out, into, (out,)
-        for into in sizes:  # two of high's for one of low's
-            for other in set(high) - {out}:
-                if gain < into - out - other <= room:
-                    gain, best_in, best_out = into - out - other, (into,), (out, other)
+    sizes, others, many, have = sorted(set(low)), sorted(set(high)), Counter(low), Counter(high)
+
+    def consider(into: tuple, out: tuple) -> None:
+        nonlocal gain, best_in, best_out
+        if gain < sum(into) - sum(out) <= room:
+            gain, best_in, best_out = sum(into) - sum(out), into, out
+
+    for out in others:
+        if at := bisect_right(sizes, room + out):
+            consider((sizes[at - 1],), (out,))
+        i, j = 0, len(sizes) - 1  # two of low's that come nearest to what fits
+        while i <= j:
+            if sizes[i] + sizes[j] > room + out:
+                j -= 1
+            else:
+                if i < j or many[sizes[i]] > 1:
+                    consider((sizes[i], sizes[j]), (out,))
+                i += 1
+        for other in others[: bisect_right(others, out)]:  # two of high's for one of low's
+            if other != out or have[out] > 1:
+                if at := bisect_right(sizes, room + out + other):
+                    consider((sizes[at - 1],), (out, other))
     for x in best_in:
         low.remove(x)
         high.append(x)
