@@ -27,7 +27,7 @@ from .hashing import BASE, mix, powers
 
 EDITS, TENTH = 2, 10
 #: Lines that meet at one key, above which only lines not connected otherwise are paired.
-CROWDED = 200
+CROWDED = 12
 #: Characters that are hashed at a time.
 CHARS = 1 << 18
 
