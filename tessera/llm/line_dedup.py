@@ -8,7 +8,8 @@ EDITS shorter would have, in the multi-match-aware windows. What meets at a key
 distance. Equal lines are one line from the start.
 
 A key at which many lines meet gives first a few pairs of each; after what those connect, only pairs of lines that
-aren't connected yet.
+aren't connected yet and whose character counts allow it: an edit changes two of the counts by one at most, so lines
+whose profiles are further apart than 2 * EDITS can't be alike.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .hashing import BASE, mix, powers
 EDITS, TENTH = 2, 10
 #: Lines that meet at one key, above which only lines not connected otherwise are paired.
 CROWDED = 12
+#: Counts in a line's profile.
+KINDS = 32
 #: Characters that are hashed at a time.
 CHARS = 1 << 18
 
@@ -264,25 +267,42 @@ def _candidates(found):
             yield _met(hot_lines, hot_lines, np.concatenate(hot_keys), np.concatenate(hot_listed))
 
 
+def profile(line: str) -> bytes:
+    """How many of the line's characters are of each of KINDS kinds, 255 meaning that or more. Characters that an edit
+    adds or takes away change one count each, so the counts of alike lines differ by EDITS each at most."""
+    kinds = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % KINDS
+    return np.minimum(np.bincount(kinds, minlength=KINDS), 255).astype(np.uint8).tobytes()
+
+
 def _open_pairs(found):
-    """Of crowded keys (key, line, component, listed): all pairs of unconnected lines, at least one listed."""
-    for key, line, component, listed in _runs(found, 4):
+    """Of crowded keys (key, line, component, listed, profile): pairs of unconnected lines, at least one listed, with
+    near profiles. Lines are ordered by the count that varies most, and each meets those within EDITS of its own."""
+    for key, line, component, listed, profiles in _runs(found, 5):
         starts, ends = _bounds(key)
+        left, right, size = [], [], 0
         for a, b in zip(starts, ends, strict=True):
-            names, groups, own = line[a:b], component[a:b], listed[a:b].astype(bool)
-            found_groups, at, n = np.unique(groups, return_inverse=True, return_counts=True)
-            largest = int(np.argmax(n))
+            counts = np.frombuffer(b"".join(profiles[a:b]), np.uint8).reshape(-1, KINDS).astype(np.int16)
+            widest = int(np.argmax(np.ptp(counts, axis=0)))
+            order = np.argsort(counts[:, widest], kind="stable")
+            counts, names, own = counts[order], line[a:b][order], listed[a:b][order].astype(bool)
+            _, at, n = np.unique(component[a:b][order], return_inverse=True, return_counts=True)
+            largest, along = int(np.argmax(n)), counts[:, widest]
+            low, high = np.searchsorted(along, along - EDITS, "left"), np.searchsorted(along, along + EDITS, "right")
             for i in np.flatnonzero(at != largest).tolist():
-                other = ((at == largest) | ((at != at[i]) & (np.arange(len(names)) > i))) & (own | own[i])
-                yield _met([np.full(int(other.sum()), names[i])], [names[other]])
+                near = np.arange(low[i], high[i])
+                near = near[((at[near] == largest) | ((at[near] != at[i]) & (near > i))) & (own[near] | own[i])]
+                near = near[np.abs(counts[near] - counts[i]).sum(axis=1) <= 2 * EDITS]
+                left.append(np.full(len(near), names[i]))
+                right.append(names[near])
+                size += len(near)
+            if size > 200_000:
+                yield _met(left, right)
+                left, right, size = [], [], 0
+        yield _met(left, right)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of lines that are alike; the lines' texts come out of the documents."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
-    n_ids = ids.count()
-    if not n_ids:
-        return pairs
+def _contents(ids: DataFrame, n_ids: int, docs: DataFrame) -> DataFrame:
+    """(h1, content) of the lines whose h1 is among ids; the texts come out of the documents."""
 
     def read(found):
         for batch in found:
@@ -291,8 +311,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
                 out.update((line, line_id(line)[0]) for line in lines_of(text.as_py()) if len(line) >= TENTH - 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(out.values()), pa.int64()), pa.array(list(out), pa.string())], ["h1", "content"])
 
-    content = only_ids(docs.mapInArrow(read, "h1 long, content string"), ids, n_ids, "h1").dropDuplicates(["h1"])
-    content = scratch.keep(content, "content")
+    return only_ids(docs.mapInArrow(read, "h1 long, content string"), ids, n_ids, "h1").dropDuplicates(["h1"])
+
+
+def _profiled(found):
+    for batch in found:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([profile(x) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "profile"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of lines that are alike."""
+    ids = scratch.keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
+    n_ids = ids.count()
+    if not n_ids:
+        return pairs
+    content = scratch.keep(_contents(ids, n_ids, docs), "content")
 
     def compare(found):
         for batch in found:
@@ -318,6 +351,9 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     hot = met.where("key is not null").select("key", F.col("a").alias("node"), "listed")
     if not hot.isEmpty():
         hot = hot.join(joined, "node", "left").select("key", F.col("node").alias("line"), F.coalesce("component", "node").alias("component"), "listed")
+        ids = scratch.keep(hot.select(F.col("line").alias("h1")).distinct(), "crowded")
+        profiles = scratch.keep(_contents(ids, ids.count(), docs).mapInArrow(_profiled, "node long, profile binary"), "profiles")
+        hot = hot.join(profiles.withColumnRenamed("node", "line"), "line").select("key", "line", "component", "listed", "profile")
         more = hot.repartition(shards, "key").sortWithinPartitions("key", "line").mapInArrow(_open_pairs, _MET)
         more = scratch.keep(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "open-pairs")
         second = scratch.keep(_verified(more, docs, scratch), "more-links")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -144,6 +145,18 @@ def test_lines(spark):
     assert got == brute_lines(found)
 
 
+def test_profiles_of_alike_lines_are_near():
+    rng = random.Random(5)
+    for _ in range(300):
+        line = "".join(rng.choice("abcde é中\x00") for _ in range(rng.randint(0, 40))) + "z" * rng.choice([0, 300])
+        other = list(line)
+        for _ in range(line_dedup.EDITS):
+            at = rng.randint(0, len(other))
+            other[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "é"])
+        apart = [abs(x - y) for x, y in zip(line_dedup.profile(line), line_dedup.profile("".join(other)), strict=True)]
+        assert max(apart) <= line_dedup.EDITS and sum(apart) <= 2 * line_dedup.EDITS
+
+
 def test_crowded_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "CROWDED", 5)
     stem = "the same long beginning of a line that many others share "
