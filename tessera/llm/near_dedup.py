@@ -13,12 +13,15 @@ longest common prefix within a sorted run. There are three rounds:
   are tested against that component's members, block by block in one task each, and paired with each other. Groups that
   are connected yield nothing, so a large group of near copies costs no square of its size.
 
-Every pair is filtered by an estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
+Pairs whose sizes alone rule a link out aren't made, and none is tested in two rounds. Every pair is filtered by an
+estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
 shares no region with probability (1 - 0.8^WIDTH)^TREES = 3e-6.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,16 +94,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _regions(classes: DataFrame, trees: int, shards: int) -> DataFrame:
-    """(prefix, deeper, rep, comp), a row for each tree of each class, in sorted order; prefixes of different trees differ."""
-    rows = classes.select("rep", "comp", F.posexplode(F.slice("prefixes", 1, trees) if trees < TREES else F.col("prefixes")).alias("tree", "prefix"), "prefixes")
+    """(prefix, deeper, rep, comp, size), a row for each tree of each class, in sorted order; prefixes of different trees differ."""
+    rows = classes.select("rep", "comp", "size", F.posexplode(F.slice("prefixes", 1, trees) if trees < TREES else F.col("prefixes")).alias("tree", "prefix"), "prefixes")
     deeper = F.element_at("prefixes", F.pmod(F.col("tree") + 1, F.lit(TREES)).cast("int") + 1)
-    rows = rows.select(F.col("prefix").bitwiseXOR(F.xxhash64("tree")).alias("prefix"), deeper.alias("deeper"), "rep", "comp")
+    rows = rows.select(F.col("prefix").bitwiseXOR(F.xxhash64("tree")).alias("prefix"), deeper.alias("deeper"), "rep", "comp", "size")
     return rows.repartitionByRange(shards, "prefix", "deeper", "rep").sortWithinPartitions("prefix", "deeper", "rep")
 
 
 def _runs(found):
-    """Of sorted batches, each run of equal prefix with several components, as (deeper, rep, comp); runs may span batches."""
-    held = [np.empty(0, np.int64)] * 4
+    """Of sorted batches, each run of equal prefix with several components, as (deeper, rep, comp, size); runs may span batches."""
+    held = [np.empty(0, np.int64)] * 5
     for batch in found:
         now = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
         if not len(now[0]):
@@ -112,7 +115,7 @@ def _runs(found):
 
 
 def _whole_runs(columns):
-    prefix, deeper, rep, comp = columns
+    prefix, deeper, rep, comp, size = columns
     if len(prefix) < 2:
         return
     starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
@@ -120,7 +123,12 @@ def _whole_runs(columns):
     ends = np.r_[starts[1:], len(prefix)]
     for i in np.flatnonzero(least != most).tolist():
         a, b = starts[i], ends[i]
-        yield deeper[a:b], rep[a:b], comp[a:b]
+        yield deeper[a:b], rep[a:b], comp[a:b], size[a:b]
+
+
+def _near_size(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return denominator * np.minimum(x, y) >= numerator * np.maximum(x, y)
 
 
 def _pairs(a, b) -> pa.RecordBatch:
@@ -141,49 +149,50 @@ def _emit(chunks):
     yield _pairs(left, right)
 
 
-def linking_pairs(found):
+def linking_pairs(found, numerator: int, denominator: int):
     """A few pairs of each row: with the smallest rep of its region and of its deeper region (an original mostly comes
     before its copies), and with its neighbour; of these, the ones that aren't connected yet."""
 
     def chunks():
-        for deeper, rep, comp in _runs(found):
+        for deeper, rep, comp, size in _runs(found):
             starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
             sizes = np.diff(np.r_[starts, len(rep)])
             heads = np.repeat(starts, sizes)  # rows of one deeper region are in order of rep
             least = np.full(len(rep), int(np.argmin(rep)))
             for other in (least, heads, np.maximum(np.arange(len(rep)) - 1, 0)):
-                differ = comp != comp[other]
+                differ = (comp != comp[other]) & _near_size(size, size[other], numerator, denominator)
                 yield rep[differ], rep[other][differ]
 
     return _emit(chunks())
 
 
-def open_rows(found):
+def open_rows(found, numerator: int, denominator: int):
     """Of rows of one region whose components differ: (rep, component) for each row outside the region's largest
     component, which is to be tested against that component's members; and, with component null, pairs of rows that are
     both outside: all, or where there are many components, all within the deeper regions and neighbours elsewhere."""
 
-    def outside(rep, comp):
+    def outside(rep, comp, size):
         for i in range(len(rep) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            differ = (comp[i + 1 :] != comp[i]) & _near_size(size[i + 1 :], size[i], numerator, denominator)
+            other = np.flatnonzero(differ) + i + 1
             yield rep[other], np.full(len(other), rep[i])
 
     def chunks():
-        for deeper, rep, comp in _runs(found):
+        for deeper, rep, comp, size in _runs(found):
             names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
             largest = int(np.argmax(n))
             rest = at != largest if n[largest] > 1 else np.ones(len(rep), bool)
             if not rest.all():
                 yield rep[rest], np.full(int(rest.sum()), names[largest]), True
-            deeper, rep, comp = deeper[rest], rep[rest], comp[rest]
+            deeper, rep, comp, size = deeper[rest], rep[rest], comp[rest], size[rest]
             if len(names) <= CROWDED:
-                yield from ((*pair, False) for pair in outside(rep, comp))
+                yield from ((*pair, False) for pair in outside(rep, comp, size))
                 continue
             starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
             for a, b in zip(starts, np.r_[starts[1:], len(rep)], strict=True):
-                yield from ((*pair, False) for pair in outside(rep[a:b], comp[a:b]))
+                yield from ((*pair, False) for pair in outside(rep[a:b], comp[a:b], size[a:b]))
             for step in range(1, NEIGHBOURS + 1):
-                differ = comp[step:] != comp[:-step]
+                differ = (comp[step:] != comp[:-step]) & _near_size(size[step:], size[:-step], numerator, denominator)
                 yield rep[step:][differ], rep[:-step][differ], False
 
     held, size = [], 0
@@ -264,7 +273,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
 
     one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
     two = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -314,19 +323,26 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
     full = signed.where("n_shingles > 0")
     classes = scratch.keep(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
-    forest = scratch.keep(full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "sketch"), "forest")
+    forest = scratch.keep(full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefixes", "sketch"), "forest")
     sketches = forest.select("rep", "sketch")
-    alone = forest.select("rep", F.col("rep").alias("comp"), "prefixes")
+    alone = forest.select("rep", F.col("rep").alias("comp"), "size", "prefixes")
+    linking = partial(linking_pairs, numerator=numerator, denominator=denominator)
+    opening = partial(open_rows, numerator=numerator, denominator=denominator)
+    seen: list[DataFrame] = []
 
     def links(pairs, name):
-        pairs = scratch.keep(pairs.where("a != b").distinct(), f"pairs-{name}")
+        pairs = pairs.where("a != b").distinct()
+        for before in seen:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, f"pairs-{name}")
+        seen.append(pairs)
         chosen = scratch.keep(likely(pairs, sketches, numerator / denominator), f"likely-{name}")
         return scratch.keep(verified(chosen, docs, k, numerator, denominator, scratch), f"links-{name}")
 
     def regions(joined, trees):
         rows = alone
         if joined is not None:
-            rows = alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "prefixes")
+            rows = alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "prefixes")
         return _regions(rows, trees, shards)
 
     def join_more(joined, more):
@@ -335,9 +351,9 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
         # what was connected before counts as one node
         return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
-    joined = components(links(regions(None, FIRST_TREES).mapInArrow(linking_pairs, "a long, b long"), "first"), scratch)
-    joined = join_more(joined, links(regions(joined, TREES).mapInArrow(linking_pairs, "a long, b long"), "second"))
-    opened = scratch.keep(regions(joined, TREES).mapInArrow(open_rows, "a long, b long, tests boolean").distinct(), "open")
+    joined = components(links(regions(None, FIRST_TREES).mapInArrow(linking, "a long, b long"), "first"), scratch)
+    joined = join_more(joined, links(regions(joined, TREES).mapInArrow(linking, "a long, b long"), "second"))
+    opened = scratch.keep(regions(joined, TREES).mapInArrow(opening, "a long, b long, tests boolean").distinct(), "open")
     third = links(opened.where("not tests").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "third")
     tests = opened.where("tests").select(F.col("a").alias("rep"), F.col("b").alias("comp"))
     third = third.unionByName(scratch.keep(tested(tests, joined.select(F.col("node").alias("rep"), F.col("component").alias("comp")), docs, k, numerator, denominator, scratch), "tested"))
