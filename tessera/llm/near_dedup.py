@@ -1,17 +1,18 @@
 """MinHash near-dedup by an LSH forest.
 
 A document's set holds its distinct k-word shingles (64-bit hashes). Equal sets are one class; only one of each class
-goes on. A forest of TREES trees orders the classes by runs of min-hash values: a tree's region is a shared prefix of
-WIDTH values, and where a region is crowded its depth adapts, up to 2 * WIDTH values. Rows are range-partitioned by
-(tree, prefix, deeper prefix) and sorted, so a crowded region spreads over tasks, and candidates are neighbours of
-longest common prefix within a sorted run. There are three rounds:
+goes on. A forest of TREES trees puts the classes into regions: a tree's region is a shared prefix of WIDTH min-hash values.
+There are three rounds; the first two only save work:
 
-* the first takes FIRST_TREES trees and pairs each row with the smallest of its region and of its deeper region, and
-  its neighbour. Verified links give components;
+* the first takes FIRST_TREES trees, range-partitioned by (prefix, the next tree's prefix), and pairs each row with the
+  smallest of its region and of its deeper region, and its neighbour, as far as they lie in one task. Verified links
+  give components;
 * the second does so in all trees, with rows that aren't connected yet;
-* the third takes up all rows of one region that still aren't connected: those outside the region's largest component
-  are tested against that component's members, block by block in one task each, and paired with each other. Groups that
-  are connected yield nothing, so a large group of near copies costs no square of its size.
+* the third takes up all pairs of one region that still aren't connected. Regions are grouped as a whole, however tasks
+  cut them. Rows outside the region's largest component are tested against that component's members and against each
+  other: in pairs where they are few, else block by block, each pair of blocks in one task, from which only links come.
+  Groups that are connected yield nothing, so a large group of near copies costs no square of its size; many rows of one
+  region that nothing connects do cost a square of comparisons, but no square of rows.
 
 Pairs whose sizes alone rule a link out aren't made, and none is tested in two rounds. Every pair is filtered by an
 estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
@@ -28,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only_ids, texts
+from .common import BROADCAST_IDS, Scratch, only_ids, texts
 from .components import components
 from .hashing import mix, separators, shingle_set, word_hashes
 
 TREES, WIDTH, FIRST_TREES = 32, 5, 4
 VALUES = TREES * WIDTH
-#: Components in one region above which its depth adapts, and then the neighbours that a row is paired with.
-CROWDED, NEIGHBOURS = 48, 6
+#: Rows outside a region's largest component above which pairs are compared by blocks, and the rows of a block.
+CROWDED, BLOCK = 48, 512
 #: Rows of a block when rows are tested against the members of a component.
 TESTS, MEMBERS = 256, 512
 #: How far below the threshold the estimate of a pair may be (six standard deviations at 0.8).
@@ -93,11 +94,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def _regions(classes: DataFrame, trees: int, shards: int) -> DataFrame:
-    """(prefix, deeper, rep, comp, size), a row for each tree of each class, in sorted order; prefixes of different trees differ."""
+def _trees(classes: DataFrame, trees: int) -> DataFrame:
+    """(prefix, tree, rep, comp, size, prefixes), a row for each tree of each class; prefixes of different trees differ."""
     rows = classes.select("rep", "comp", "size", F.posexplode(F.slice("prefixes", 1, trees) if trees < TREES else F.col("prefixes")).alias("tree", "prefix"), "prefixes")
+    return rows.withColumn("prefix", F.col("prefix").bitwiseXOR(F.xxhash64("tree")))
+
+
+def _regions(classes: DataFrame, trees: int, shards: int) -> DataFrame:
+    """(prefix, deeper, rep, comp, size) in sorted order; a region may lie in several tasks."""
     deeper = F.element_at("prefixes", F.pmod(F.col("tree") + 1, F.lit(TREES)).cast("int") + 1)
-    rows = rows.select(F.col("prefix").bitwiseXOR(F.xxhash64("tree")).alias("prefix"), deeper.alias("deeper"), "rep", "comp", "size")
+    rows = _trees(classes, trees).select("prefix", deeper.alias("deeper"), "rep", "comp", "size")
     return rows.repartitionByRange(shards, "prefix", "deeper", "rep").sortWithinPartitions("prefix", "deeper", "rep")
 
 
@@ -166,48 +172,99 @@ def linking_pairs(found, numerator: int, denominator: int):
     return _emit(chunks())
 
 
-def open_rows(found, numerator: int, denominator: int):
-    """Of rows of one region whose components differ: (rep, component) for each row outside the region's largest
-    component, which is to be tested against that component's members; and, with component null, pairs of rows that are
-    both outside: all, or where there are many components, all within the deeper regions and neighbours elsewhere."""
+def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows with the columns that table has for their key: a broadcast where table is small, else a join whose skew is dealt anew."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table, key)
+
+
+def open_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of regions that hold several components, the rows outside the largest one: prefix, tree, rep, comp, size, largest
+    (null where each component has one row), n_rest and n_comps (rows and components outside the largest).
+
+    Everything about a region is a grouped aggregate over all its rows, wherever they lie."""
+    several = scratch.keep(rows.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("prefix"), "several")
+    inside = scratch.keep(only_ids(rows, several, several.count(), "prefix"), "inside")
+    held = inside.groupBy("prefix", "comp").agg(F.count("*").alias("n"))
+    regions = held.groupBy("prefix").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("most"), F.sum("n").alias("n"), F.count("*").alias("n_comps"))
+    found = F.col("most.n") > 1
+    regions = regions.select(
+        "prefix", F.when(found, -F.col("most.comp")).alias("largest"), (F.col("n") - F.when(found, F.col("most.n")).otherwise(0)).alias("n_rest"), (F.col("n_comps") - found.cast("long")).alias("n_comps")
+    )
+    rest = _beside(inside, scratch.keep(regions, "regions"), "prefix").where(F.col("largest").isNull() | (F.col("comp") != F.col("largest")))
+    return scratch.keep(rest, "rest")
+
+
+def small_pairs(rest: DataFrame, shards: int, numerator: int, denominator: int) -> DataFrame:
+    """All pairs of rows of different components in each region that isn't crowded."""
+
+    def chunks(found):
+        for _, rep, comp, size in _runs(found):
+            for i in range(len(rep) - 1):
+                other = np.flatnonzero((comp[i + 1 :] != comp[i]) & _near_size(size[i + 1 :], size[i], numerator, denominator)) + i + 1
+                yield rep[other], np.full(len(other), rep[i])
+
+    rows = rest.where((F.col("n_rest") <= CROWDED) & (F.col("n_comps") > 1)).select("prefix", "tree", "rep", "comp", "size")
+    return rows.repartition(shards, "prefix").sortWithinPartitions("prefix", "rep").mapInArrow(lambda found: _emit(chunks(found)), "a long, b long")
+
+
+def crowded_links(rest: DataFrame, forest: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """Links of rows of different components in crowded regions. The rows are dealt into blocks, and each pair of blocks
+    is compared in one task, by sketch and then on full sets; only links come out. Rows that share several regions are
+    compared in the first."""
+    rest = rest.where((F.col("n_rest") > CROWDED) & (F.col("n_comps") > 1)).select("prefix", "tree", "rep", "comp", "n_rest")
+    if rest.isEmpty():
+        return rest.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+    n = F.ceil(F.col("n_rest") / BLOCK)
+    rows = rest.withColumn("own", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    pair = (F.xxhash64("prefix", F.least("own", "other"), F.greatest("own", "other"))).alias("block")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")
+    dealt = scratch.keep(rows.select(pair, side, "tree", "rep", "comp"), "crowded")
+    ids = scratch.keep(rest.select(F.col("rep").alias("doc_id")).distinct(), "crowded-ids")
+    signed = only_ids(forest.withColumnRenamed("rep", "doc_id"), ids, ids.count()).select("doc_id", "prefixes", "sketch")
+    sets = scratch.keep(_sets(ids, docs, k, scratch).join(signed, "doc_id"), "crowded-sets")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(sets, dealt["rep"] == sets["doc_id"]).select("block", "side", "tree", "rep", "comp", "prefixes", "sketch", "shingles")
+    rows = rows.repartition(shards, "block").sortWithinPartitions("block")
+    least = int(np.floor(max(0.0, numerator / denominator - SLACK) * VALUES))
 
-    def outside(rep, comp, size):
-        for i in range(len(rep) - 1):
-            differ = (comp[i + 1 :] != comp[i]) & _near_size(size[i + 1 :], size[i], numerator, denominator)
-            other = np.flatnonzero(differ) + i + 1
-            yield rep[other], np.full(len(other), rep[i])
+    def compare(found):
+        held: list[tuple] = []
+        now = None
+        for batch in found:
+            for row in zip(*batch.columns, strict=True):
+                if row[0].as_py() != now:
+                    yield _linked_blocks(held, least, numerator, denominator)
+                    held, now = [], row[0].as_py()
+                held.append((*(x.as_py() for x in row[1:6]), np.frombuffer(row[6].as_buffer(), np.uint8), np.frombuffer(row[7].as_buffer(), np.uint64)))
+        yield _linked_blocks(held, least, numerator, denominator)
 
-    def chunks():
-        for deeper, rep, comp, size in _runs(found):
-            names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-            largest = int(np.argmax(n))
-            rest = at != largest if n[largest] > 1 else np.ones(len(rep), bool)
-            if not rest.all():
-                yield rep[rest], np.full(int(rest.sum()), names[largest]), True
-            deeper, rep, comp, size = deeper[rest], rep[rest], comp[rest], size[rest]
-            if len(names) <= CROWDED:
-                yield from ((*pair, False) for pair in outside(rep, comp, size))
-                continue
-            starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(rep)], strict=True):
-                yield from ((*pair, False) for pair in outside(rep[a:b], comp[a:b], size[a:b]))
-            for step in range(1, NEIGHBOURS + 1):
-                differ = (comp[step:] != comp[:-step]) & _near_size(size[step:], size[:-step], numerator, denominator)
-                yield rep[step:][differ], rep[:-step][differ], False
-
-    held, size = [], 0
-    for a, b, tests in chunks():
-        held.append((a, b, np.full(len(a), tests)))
-        size += len(a)
-        if size > 200_000:
-            yield _opened(held)
-            held, size = [], 0
-    if held:
-        yield _opened(held)
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _opened(held) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "tests"])
+def _linked_blocks(held, least: int, numerator: int, denominator: int) -> pa.RecordBatch:
+    """Links between the rows of a pair of blocks (sides 1 and 2), or within one block (side 0). held: (side, tree, rep,
+    comp, prefixes, sketch, shingles)."""
+    left, right = [], []
+    one, two = [x for x in held if x[0] != 2], [x for x in held if x[0] != 1]
+    if one and two:
+        tree = held[0][1]
+        reps, comps, sizes = (np.array(x) for x in zip(*((x[2], x[3], len(x[6])) for x in two), strict=True))
+        prefixes, sketches = np.array([x[4][: tree + 1] for x in two]), np.stack([x[5] for x in two])
+        for side, _, rep, comp, own_prefixes, sketch, own in one:
+            good = (comps != comp) & _near_size(sizes, len(own), numerator, denominator)
+            if side == 0:
+                good &= reps < rep
+            good &= (prefixes[:, tree] == own_prefixes[tree]) & ~(prefixes[:, :tree] == np.array(own_prefixes[:tree], np.int64)).any(axis=1)
+            at = np.flatnonzero(good)
+            at = at[(sketches[at] == sketch).sum(axis=1) >= least]
+            if len(at):
+                every = np.concatenate([two[i][6] for i in at])
+                where = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                shared = np.add.reduceat((own[where] == every).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+                at = at[denominator * shared >= numerator * (sizes[at] + len(own) - shared)]
+                left.append(np.full(len(at), rep))
+                right.append(reps[at])
+    return _pairs(left, right)
 
 
 def tested(tests: DataFrame, members: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
@@ -327,7 +384,6 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
     sketches = forest.select("rep", "sketch")
     alone = forest.select("rep", F.col("rep").alias("comp"), "size", "prefixes")
     linking = partial(linking_pairs, numerator=numerator, denominator=denominator)
-    opening = partial(open_rows, numerator=numerator, denominator=denominator)
     seen: list[DataFrame] = []
 
     def links(pairs, name):
@@ -339,11 +395,10 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
         chosen = scratch.keep(likely(pairs, sketches, numerator / denominator), f"likely-{name}")
         return scratch.keep(verified(chosen, docs, k, numerator, denominator, scratch), f"links-{name}")
 
-    def regions(joined, trees):
-        rows = alone
-        if joined is not None:
-            rows = alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "prefixes")
-        return _regions(rows, trees, shards)
+    def now(joined):
+        if joined is None:
+            return alone
+        return alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "prefixes")
 
     def join_more(joined, more):
         if more.isEmpty():
@@ -351,11 +406,12 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
         # what was connected before counts as one node
         return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
-    joined = components(links(regions(None, FIRST_TREES).mapInArrow(linking, "a long, b long"), "first"), scratch)
-    joined = join_more(joined, links(regions(joined, TREES).mapInArrow(linking, "a long, b long"), "second"))
-    opened = scratch.keep(regions(joined, TREES).mapInArrow(opening, "a long, b long, tests boolean").distinct(), "open")
-    third = links(opened.where("not tests").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "third")
-    tests = opened.where("tests").select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    joined = components(links(_regions(now(None), FIRST_TREES, shards).mapInArrow(linking, "a long, b long"), "first"), scratch)
+    joined = join_more(joined, links(_regions(now(joined), TREES, shards).mapInArrow(linking, "a long, b long"), "second"))
+    rest = open_rows(_trees(now(joined), TREES).select("prefix", F.col("tree").cast("long").alias("tree"), "rep", "comp", "size"), scratch)
+    third = links(small_pairs(rest, shards, numerator, denominator), "third")
+    third = third.unionByName(scratch.keep(crowded_links(rest, forest, docs, k, numerator, denominator, scratch), "crowded-links"))
+    tests = rest.where("largest is not null").select("rep", F.col("largest").alias("comp")).distinct()
     third = third.unionByName(scratch.keep(tested(tests, joined.select(F.col("node").alias("rep"), F.col("component").alias("comp")), docs, k, numerator, denominator, scratch), "tested"))
     joined = join_more(joined, third)
     found = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
@@ -367,8 +423,6 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
 
 def drop_near_copies(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """The documents, all columns, one of each component: the one of smallest doc_id."""
-    from .common import BROADCAST_IDS
-
     scratch = Scratch(docs.sparkSession, "near-drop")
     gone = scratch.keep(near_groups(docs, k, numerator, denominator).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS

@@ -89,6 +89,34 @@ def test_near_group(spark):
     assert got == [(i, u.find(i), i % 61) for i in range(122)]
 
 
+def family(n):
+    """Pairs of documents that share 0.804 with each other and 0.78 with all others."""
+    common = [f"c{i}" for i in range(178)]
+    out = []
+    for i in range(n):
+        both = [f"p{i}-{j}" for j in range(3)]
+        out += [" ".join([*common, *both, *(f"q{i}{side}-{j}" for j in range(22))]) for side in "ab"]
+    random.Random(n).shuffle(out)
+    return out
+
+
+def brute_near(found, k):
+    sets, u = brute_sets(found, k), Union()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                u.join(i, j)
+    return [(i, u.find(i)) for i in range(len(found))]
+
+
+def test_near_in_crowded_regions(spark):
+    """Far over 48 components in the regions that a pair shares, and nothing else connects the pairs."""
+    found = family(300)
+    want = brute_near(found, 1)
+    assert len({w[1] for w in want}) == 300
+    assert rows(near_dedup.near_groups(frame(spark, found), 1), "doc_id", "component_id") == want
+
+
 def test_near_long_and_empty(spark):
     long = " ".join(f"word{i}" for i in range(300_000))
     got = rows(near_dedup.near_groups(frame(spark, [long, long + " z", "", None]), 2), "doc_id", "n_shingles", "component_id")
