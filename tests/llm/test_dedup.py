@@ -117,6 +117,17 @@ def test_near_in_crowded_regions(spark):
     assert rows(near_dedup.near_groups(frame(spark, found), 1), "doc_id", "component_id") == want
 
 
+def test_near_in_cut_regions(spark):
+    """Regions of 48 components or fewer, each lying in many tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        found = family(20)
+        assert rows(near_dedup.near_groups(frame(spark, found), 1), "doc_id", "component_id") == brute_near(found, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_near_long_and_empty(spark):
     long = " ".join(f"word{i}" for i in range(300_000))
     got = rows(near_dedup.near_groups(frame(spark, [long, long + " z", "", None]), 2), "doc_id", "n_shingles", "component_id")
