@@ -59,6 +59,19 @@ def test_contexts_find_unseen(spark):
     assert rows[13]["spans"] == ""
 
 
+def test_contexts_find_other_shapes(spark):
+    """What no base pattern matches: no @, no +, spaces, letters alone, and up to a known word after."""
+    r = random.Random(12)
+    found = [f"{prose(r, 4)} member mail u{i}@site{i}.org and {prose(r, 5)}" for i in range(30)]
+    found += [f"{prose(r, 4)} dial (+49 30 555{i:04}) tonight {prose(r, 5)}" for i in range(30)]
+    planted = [("member mail ", "k.9(at)site.net", " please"), ("member mail ", "kurt", ", thanks"), ("my mail ", "kay at site dot net", " and so on"), ("now dial ", "030 555 12 34", ", or not"), ("dial (", "0049-30/1234567", ") tonight")]
+    found += [a + b + c for a, b, c in planted] + ["mail order, post and so on, the mail", "a dial"]
+    rows = sorted(pii.find_personal(frame(spark, found)).collect(), key=lambda x: x["doc_id"])
+    for (a, b, _), x, kind in zip(planted, rows[60:], ["email"] * 3 + ["phone"] * 2, strict=False):
+        assert f"{kind}:{len(a)}:{len(a) + len(b)}" in x["spans"].split(","), (b, x["spans"])
+    assert rows[66]["spans"] == ""
+
+
 def _cards(n):
     made = (str(x) for x in range(4000000000000000, 4000000000001000))
     return [x for x in made if pii.luhn(x)][:n]
