@@ -72,6 +72,17 @@ def test_contexts_find_other_shapes(spark):
     assert rows[66]["spans"] == ""
 
 
+def test_contexts_of_long_words():
+    long = "w" * 300
+    text = f"{long} mail u@site.org"
+    (_, _, patterns), = pii.seeds(text, pii.base_spans(text))
+    assert patterns == [pii.pattern_of(pii.BEFORE, "mail"), pii.pattern_of(pii.TWO, long, "mail")]
+    contexts = pii.Contexts({x: (5, patterns[0]) for x in patterns})
+    other = f"{long} mail {'k' * 500}(at)site.net"
+    assert {(a, b) for a, b, _, _ in pii.unseen(other, [], contexts)} == {(306, len(other))}
+    assert {x for *_, x in pii.unseen(other, [], contexts)} == set(patterns)
+
+
 def _cards(n):
     made = (str(x) for x in range(4000000000000000, 4000000000001000))
     return [x for x in made if pii.luhn(x)][:n]
