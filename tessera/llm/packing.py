@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,6 @@ from .common import Scratch, texts
 
 #: Pieces that one rank window may hold, on average; more pieces of a length are ranked in more windows.
 RANKED_TOGETHER = 100_000
-#: Underfull sequences that the local search takes up, emptiest first; exchanges that it makes, and pairs of sequences
-#: that it looks at in vain, before it stops. All sequences stay; these bound the search's time alone.
-SEARCH_BINS, SEARCH_MOVES, SEARCH_TRIES = 100, 20_000, 20_000
 
 Pattern = tuple[int, ...]
 
@@ -66,36 +64,39 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter:
 
 
 def local_search(patterns: Counter, capacity: int) -> Counter:
-    """Move, one-for-one and two-for-one exchanges between underfull sequences. Each moves load from the emptier to the
-    fuller one, so squared fill strictly grows; a sequence that runs empty is gone. Never makes more sequences."""
+    """Move, one-for-one and two-for-one exchanges between underfull sequences, all of them. Each moves load from the
+    emptier to the fuller one, so squared fill strictly grows; a sequence that runs empty is gone. An exchange between
+    two patterns is made in as many sequences as both have. Ends when there are as few sequences as the total allows,
+    or no pair of patterns has an exchange left. Never makes more sequences."""
     total = sum(sum(p) * n for p, n in patterns.items())
     least = -(-total // capacity)
-    done = Counter(patterns)
-    loose: list[list[int]] = []
-    for pattern in sorted((p for p in done if sum(p) < capacity), key=lambda p: (sum(p), p)):
-        take = min(done[pattern], SEARCH_BINS - len(loose))
-        loose += [list(pattern) for _ in range(take)]
-        done[pattern] -= take
-        if len(loose) == SEARCH_BINS:
+    counts, n = Counter(patterns), sum(patterns.values())
+    settled: set[Pattern] = set()  # no two of these have an exchange
+    heap = [(-sum(p), p) for p in counts if sum(p) < capacity]
+    heapify(heap)
+    while heap and n > least:
+        now = heappop(heap)[1]
+        if now in settled or not counts[now]:
+            continue
+        for other in sorted([now, *(p for p in settled if counts[p])], key=lambda p: (-sum(p), p)):
+            times = counts[now] // 2 if other == now else min(counts[now], counts[other])
+            low, high = (list(p) for p in sorted((now, other), key=lambda p: (sum(p), p)))
+            if not times or not _improve(low, high, capacity):
+                continue
+            counts[now] -= times
+            counts[other] -= times
+            n -= 0 if low else times
+            for made in (tuple(sorted(x, reverse=True)) for x in (low, high) if x):
+                before = counts[made]
+                counts[made] += times
+                if sum(made) < capacity and (made not in settled or before < 2):
+                    settled.discard(made)
+                    heappush(heap, (-sum(made), made))
+            heappush(heap, (-sum(now), now))
             break
-    fixed, tries, vain = sum(done.values()), 0, set()
-    for _ in range(SEARCH_MOVES):
-        loose = [b for b in loose if b]
-        if fixed + len(loose) <= least:
-            break
-        loose.sort(key=lambda b: (sum(b), b))
-        better = False
-        for i, j in ((i, j) for i in range(len(loose)) for j in range(len(loose) - 1, i, -1)):
-            pair = (tuple(loose[i]), tuple(loose[j]))
-            if pair not in vain:
-                better = _improve(loose[i], loose[j], capacity)
-                if better or tries > SEARCH_TRIES:
-                    break
-                vain.add(pair)
-                tries += 1
-        if not better:
-            break
-    return +(done + Counter(tuple(sorted(b, reverse=True)) for b in loose if b))
+        else:
+            settled.add(now)
+    return +counts
 
 
 def _improve(low: list[int], high: list[int], capacity: int) -> bool:

@@ -43,6 +43,11 @@ def test_local_search_empties_bins():
     assert sum(packing.local_search(start, 10).values()) == 2
 
 
+def test_local_search_takes_up_all_bins():
+    start = Counter({(7,): 200, (4, 4): 200, (3, 2): 200})
+    assert sum(packing.local_search(start, 10).values()) == 400
+
+
 def check_packed(rows, lengths, capacity):
     sequences = {}
     for r in rows:
