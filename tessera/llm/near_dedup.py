@@ -1,22 +1,20 @@
 """MinHash near-dedup by an LSH forest.
 
 A document's set holds its distinct k-word shingles (64-bit hashes). Equal sets are one class; only one of each class
-goes on. A forest of TREES trees puts the classes into regions: a tree's region is a shared prefix of WIDTH min-hash values.
-There are three rounds; the first two only save work:
-
-* the first takes FIRST_TREES trees, range-partitioned by (prefix, the next tree's prefix), and pairs each row with the
-  smallest of its region and of its deeper region, and its neighbour, as far as they lie in one task. Verified links
-  give components;
-* the second does so in all trees, with rows that aren't connected yet;
-* the third takes up all pairs of one region that still aren't connected. Regions are grouped as a whole, however tasks
-  cut them. Rows outside the region's largest component are tested against that component's members and against each
-  other: in pairs where they are few, else block by block, each pair of blocks in one task, from which only links come.
-  Groups that are connected yield nothing, so a large group of near copies costs no square of its size; many rows of one
-  region that nothing connects do cost a square of comparisons, but no square of rows.
-
-Pairs whose sizes alone rule a link out aren't made, and none is tested in two rounds. Every pair is filtered by an
-estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
-shares no region with probability (1 - 0.8^WIDTH)^TREES = 3e-6.
+goes on. A forest of TREES trees orders the classes: a tree's label is a list of keys of WIDTH min-hash values each, its
+own key first and those of the next trees after it. Classes with one first key form a region of the tree.
+
+1. In FIRST_TREES trees, rows sorted by label are paired with the neighbour of longest common prefix and with the
+   smallest of their region and deeper regions. Verified links give components.
+2. In all trees, the same among the regions that still hold several components; rows carry their sketches, and only
+   pairs that these let through come out.
+3. What is still open is settled: in each region, the rows outside its largest component are tested against each other
+   and against that component's members. Few of them are compared by sketch in one task. Many are dealt into blocks, and
+   each pair of blocks is compared in one task, by sketch and then on full sets, from which only links come out.
+
+Every pair is filtered by an estimate far below the threshold and verified on its full sets. A pair of similarity 0.8
+shares no region with probability (1 - 0.8^WIDTH)^TREES = 3e-6. Groups that are connected cost nothing in the third round,
+however large; what stays open beside them costs its rows times the group's in comparisons of sketches, though not in rows.
 """
 
 from __future__ import annotations
@@ -36,11 +34,9 @@ from .hashing import mix, separators, shingle_set, word_hashes
 TREES, WIDTH, FIRST_TREES = 32, 5, 4
 VALUES = TREES * WIDTH
 #: Rows outside a region's largest component above which pairs are compared by blocks, and the rows of a block.
-CROWDED, BLOCK = 48, 512
-#: Rows of a block when rows are tested against the members of a component.
-TESTS, MEMBERS = 256, 512
-#: How far below the threshold the estimate of a pair may be (six standard deviations at 0.8).
-SLACK = 0.2
+CROWDED, BLOCK = 64, 512
+#: How far below the threshold the estimate of a pair may be (some five standard deviations at 0.8: one link in 10^5 at most).
+SLACK = 0.15
 
 _seeds = np.random.default_rng(20240229)
 _XOR = _seeds.integers(0, 1 << 32, VALUES, np.uint32)[:, None]
@@ -100,36 +96,43 @@ def _trees(classes: DataFrame, trees: int) -> DataFrame:
     return rows.withColumn("prefix", F.col("prefix").bitwiseXOR(F.xxhash64("tree")))
 
 
-def _regions(classes: DataFrame, trees: int, shards: int) -> DataFrame:
-    """(prefix, deeper, rep, comp, size) in sorted order; a region may lie in several tasks."""
-    deeper = F.element_at("prefixes", F.pmod(F.col("tree") + 1, F.lit(TREES)).cast("int") + 1)
-    rows = _trees(classes, trees).select("prefix", deeper.alias("deeper"), "rep", "comp", "size")
-    return rows.repartitionByRange(shards, "prefix", "deeper", "rep").sortWithinPartitions("prefix", "deeper", "rep")
+def _label(depth: int) -> list:
+    """The next trees' keys after a row's own."""
+    return [F.element_at("prefixes", F.pmod(F.col("tree") + i, F.lit(TREES)).cast("int") + 1).alias(f"deeper{i}") for i in range(1, depth + 1)]
 
 
-def _runs(found):
-    """Of sorted batches, each run of equal prefix with several components, as (deeper, rep, comp, size); runs may span batches."""
-    held = [np.empty(0, np.int64)] * 5
+def _ordered(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (prefix, deeper1, deeper2, rep, comp, size, ...) in the order of their labels; a region may lie in several tasks."""
+    order = ["prefix", "deeper1", "deeper2", "rep"]
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+
+
+def _runs(found, n_columns: int):
+    """Of sorted batches, the columns of each run of equal first column that holds several components (column "comp");
+    runs may span batches."""
+    held = None
     for batch in found:
-        now = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+        at = batch.schema.get_field_index("comp")
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_columns)]
+        now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
         last = int(np.searchsorted(now[0], now[0][-1], "left"))
-        yield from _whole_runs([c[:last] for c in now])
+        yield from _whole_runs([c[:last] for c in now], at)
         held = [c[last:] for c in now]
-    yield from _whole_runs(held)
+    if held is not None:
+        yield from _whole_runs(held, at)
 
 
-def _whole_runs(columns):
-    prefix, deeper, rep, comp, size = columns
+def _whole_runs(columns, at: int):
+    prefix, comp = columns[0], columns[at]
     if len(prefix) < 2:
         return
     starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
     least, most = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     ends = np.r_[starts[1:], len(prefix)]
     for i in np.flatnonzero(least != most).tolist():
-        a, b = starts[i], ends[i]
-        yield deeper[a:b], rep[a:b], comp[a:b], size[a:b]
+        yield [c[starts[i] : ends[i]] for c in columns]
 
 
 def _near_size(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
@@ -155,19 +158,44 @@ def _emit(chunks):
     yield _pairs(left, right)
 
 
-def linking_pairs(found, numerator: int, denominator: int):
-    """A few pairs of each row: with the smallest rep of its region and of its deeper region (an original mostly comes
-    before its copies), and with its neighbour; of these, the ones that aren't connected yet."""
+def _agree(sketches: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Of pairs of rows of sketches, whether they agree often enough."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 20_000):
+        b = a + 20_000
+        out[a:b] = (sketches[x[a:b]] == sketches[y[a:b]]).sum(axis=1) >= _least(threshold)
+    return out
+
+
+def _least(threshold: float) -> int:
+    return int(np.floor(max(0.0, threshold - SLACK) * VALUES))
+
+
+def _stacked(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, VALUES)
+
+
+def linking_pairs(found, numerator: int, denominator: int, sketched: bool = False):
+    """A few pairs of each row: with its neighbour in the order of labels, whose common prefix is the longest, and with the
+    smallest rep of its region and of its deeper regions (an original mostly comes before its copies); of these, the ones
+    that aren't connected yet. Rows with sketches give only pairs that agree."""
 
     def chunks():
-        for deeper, rep, comp, size in _runs(found):
-            starts = np.flatnonzero(np.r_[True, deeper[1:] != deeper[:-1]])
-            sizes = np.diff(np.r_[starts, len(rep)])
-            heads = np.repeat(starts, sizes)  # rows of one deeper region are in order of rep
-            least = np.full(len(rep), int(np.argmin(rep)))
-            for other in (least, heads, np.maximum(np.arange(len(rep)) - 1, 0)):
-                differ = (comp != comp[other]) & _near_size(size, size[other], numerator, denominator)
-                yield rep[differ], rep[other][differ]
+        for _, one, two, rep, comp, size, *sketch in _runs(found, 7 if sketched else 6):
+            rows = np.arange(len(rep))
+            heads = [np.full(len(rep), int(np.argmin(rep)))]
+            fresh = np.r_[True, one[1:] != one[:-1]]
+            for level in (fresh, fresh | np.r_[True, two[1:] != two[:-1]]):
+                starts = np.flatnonzero(level)
+                least = np.minimum.reduceat(rep, starts)
+                where = np.flatnonzero(rep == np.repeat(least, np.diff(np.r_[starts, len(rep)])))
+                heads.append(where[np.cumsum(level) - 1])
+            every = _stacked(sketch[0]) if sketched else None
+            for other in (*heads, np.maximum(rows - 1, 0)):
+                x = np.flatnonzero((comp != comp[other]) & _near_size(size, size[other], numerator, denominator))
+                if sketched:
+                    x = x[_agree(every, x, other[x], numerator / denominator)]
+                yield rep[x], rep[other[x]]
 
     return _emit(chunks())
 
@@ -177,13 +205,18 @@ def _beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table, key)
 
 
-def open_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def several(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (prefix, comp, ...) of the regions that hold several components; grouped over whole regions, wherever their
+    rows lie."""
+    found = scratch.keep(rows.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("prefix"), "several")
+    return scratch.keep(only_ids(rows, found, found.count(), "prefix"), "inside")
+
+
+def open_rows(inside: DataFrame, scratch: Scratch) -> DataFrame:
     """Of regions that hold several components, the rows outside the largest one: prefix, tree, rep, comp, size, largest
     (null where each component has one row), n_rest and n_comps (rows and components outside the largest).
 
     Everything about a region is a grouped aggregate over all its rows, wherever they lie."""
-    several = scratch.keep(rows.groupBy("prefix").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("prefix"), "several")
-    inside = scratch.keep(only_ids(rows, several, several.count(), "prefix"), "inside")
     held = inside.groupBy("prefix", "comp").agg(F.count("*").alias("n"))
     regions = held.groupBy("prefix").agg(F.max(F.struct("n", (-F.col("comp")).alias("comp"))).alias("most"), F.sum("n").alias("n"), F.count("*").alias("n_comps"))
     found = F.col("most.n") > 1
@@ -194,16 +227,16 @@ def open_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(rest, "rest")
 
 
-def small_pairs(rest: DataFrame, shards: int, numerator: int, denominator: int) -> DataFrame:
-    """All pairs of rows of different components in each region that isn't crowded."""
+def small_pairs(rest: DataFrame, sketches: DataFrame, shards: int, numerator: int, denominator: int) -> DataFrame:
+    """In each region that isn't crowded, the pairs of rows of different components whose sketches agree."""
 
     def chunks(found):
-        for _, rep, comp, size in _runs(found):
-            for i in range(len(rep) - 1):
-                other = np.flatnonzero((comp[i + 1 :] != comp[i]) & _near_size(size[i + 1 :], size[i], numerator, denominator)) + i + 1
-                yield rep[other], np.full(len(other), rep[i])
+        for _, rep, comp, size, sketch in _runs(found, 5):
+            x, y = np.nonzero(np.tri(len(rep), k=-1, dtype=bool) & (comp[:, None] != comp) & _near_size(size[:, None], size, numerator, denominator))
+            good = _agree(_stacked(sketch), x, y, numerator / denominator)
+            yield rep[x[good]], rep[y[good]]
 
-    rows = rest.where((F.col("n_rest") <= CROWDED) & (F.col("n_comps") > 1)).select("prefix", "tree", "rep", "comp", "size")
+    rows = rest.where((F.col("n_rest") <= CROWDED) & (F.col("n_comps") > 1)).join(sketches, "rep").select("prefix", "rep", "comp", "size", "sketch")
     return rows.repartition(shards, "prefix").sortWithinPartitions("prefix", "rep").mapInArrow(lambda found: _emit(chunks(found)), "a long, b long")
 
 
@@ -225,7 +258,7 @@ def crowded_links(rest: DataFrame, forest: DataFrame, docs: DataFrame, k: int, n
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.join(sets, dealt["rep"] == sets["doc_id"]).select("block", "side", "tree", "rep", "comp", "prefixes", "sketch", "shingles")
     rows = rows.repartition(shards, "block").sortWithinPartitions("block")
-    least = int(np.floor(max(0.0, numerator / denominator - SLACK) * VALUES))
+    least = _least(numerator / denominator)
 
     def compare(found):
         held: list[tuple] = []
@@ -257,75 +290,79 @@ def _linked_blocks(held, least: int, numerator: int, denominator: int) -> pa.Rec
             good &= (prefixes[:, tree] == own_prefixes[tree]) & ~(prefixes[:, :tree] == np.array(own_prefixes[:tree], np.int64)).any(axis=1)
             at = np.flatnonzero(good)
             at = at[(sketches[at] == sketch).sum(axis=1) >= least]
-            if len(at):
-                every = np.concatenate([two[i][6] for i in at])
-                where = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                shared = np.add.reduceat((own[where] == every).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
-                at = at[denominator * shared >= numerator * (sizes[at] + len(own) - shared)]
-                left.append(np.full(len(at), rep))
-                right.append(reps[at])
+            at = at[_similar(own, [two[i][6] for i in at], numerator, denominator)]
+            left.append(np.full(len(at), rep))
+            right.append(reps[at])
     return _pairs(left, right)
 
 
-def tested(tests: DataFrame, members: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+def tested(tests: DataFrame, members: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
     """Links of rows with members of components: tests (rep, comp), members (rep, comp). Both sides of a component are dealt
-    into blocks, and each pair of blocks is compared in one task, so that rows grow with the blocks and not with the
-    pairs; only links come out."""
+    into blocks, and each pair of blocks is compared in one task, by sketch and then on full sets, so that rows grow with
+    the blocks and not with the pairs; only links come out."""
     if tests.isEmpty():
         return tests.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
     tests = scratch.keep(tests, "tests")
-    n_tests = tests.groupBy("comp").agg(F.ceil(F.count("*") / TESTS).alias("n_tests"))
-    sizes = scratch.keep(members.join(n_tests, "comp").groupBy("comp", "n_tests").agg(F.ceil(F.count("*") / MEMBERS).alias("n_members")), "sizes")
+    n_tests = tests.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("n_tests"))
+    sizes = scratch.keep(members.join(n_tests, "comp").groupBy("comp", "n_tests").agg(F.ceil(F.count("*") / BLOCK).alias("n_members")), "sizes")
     block = lambda n: F.pmod(F.xxhash64("rep"), n)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = tests.join(sizes, "comp").select("comp", "rep", block("n_tests").alias("x"), spread("n_members").alias("y"), F.lit(True).alias("test"))
     two = members.join(sizes, "comp").select("comp", "rep", spread("n_tests").alias("x"), block("n_members").alias("y"), F.lit(False).alias("test"))
     dealt = scratch.keep(one.unionByName(two).withColumn("block", F.xxhash64("comp", "x", "y")).select("block", "rep", "test"), "dealt")
-    sets = _sets(dealt.select(F.col("rep").alias("doc_id")), docs, k, scratch)
+    sets = _sets(dealt.select(F.col("rep").alias("doc_id")), docs, k, scratch).join(sketches.withColumnRenamed("rep", "doc_id"), "doc_id")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.join(sets, dealt["rep"] == sets["doc_id"]).select("block", "rep", "test", "shingles").repartition(shards, "block").sortWithinPartitions("block")
+    rows = dealt.join(sets, dealt["rep"] == sets["doc_id"]).select("block", "rep", "test", "sketch", "shingles").repartition(shards, "block").sortWithinPartitions("block")
+    least = _least(numerator / denominator)
 
     def compare(found):
         held: list[tuple] = []
         now = None
         for batch in found:
-            for key, rep, test, shingles in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for key, rep, test, sketch, shingles in zip(*batch.columns, strict=True):
                 if key.as_py() != now:
-                    yield _linked(held, numerator, denominator)
+                    yield _linked(held, least, numerator, denominator)
                     held, now = [], key.as_py()
-                held.append((rep.as_py(), test.as_py(), np.frombuffer(shingles.as_buffer(), np.uint64)))
-        yield _linked(held, numerator, denominator)
+                held.append((rep.as_py(), test.as_py(), np.frombuffer(sketch.as_buffer(), np.uint8), np.frombuffer(shingles.as_buffer(), np.uint64)))
+        yield _linked(held, least, numerator, denominator)
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _linked(held, numerator: int, denominator: int) -> pa.RecordBatch:
-    """Links between the tests and the members of one pair of blocks."""
-    members = [(rep, s) for rep, test, s in held if not test]
-    left, right = [], []
+def _linked(held, least: int, numerator: int, denominator: int) -> pa.RecordBatch:
+    """Links between the tests and the members of one pair of blocks. held: (rep, test, sketch, shingles)."""
+    members, left, right = [x for x in held if not x[1]], [], []
     if members:
-        reps, sizes = np.array([rep for rep, _ in members]), np.array([len(s) for _, s in members])
-        every, starts = np.concatenate([s for _, s in members]), np.cumsum(sizes) - sizes
-        for rep, test, own in held:
-            if test:
-                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                shared = np.add.reduceat((own[at] == every).astype(np.int64), starts)
-                good = denominator * shared >= numerator * (sizes + len(own) - shared)
-                left.append(np.full(int(good.sum()), rep))
-                right.append(reps[good])
+        reps, sizes, sketches = np.array([x[0] for x in members]), np.array([len(x[3]) for x in members]), np.stack([x[2] for x in members])
+        for rep, test, sketch, own in held:
+            at = np.flatnonzero(_near_size(sizes, len(own), numerator, denominator)) if test else ()
+            if len(at):
+                at = at[(sketches[at] == sketch).sum(axis=1) >= least]
+                at = at[_similar(own, [members[i][3] for i in at], numerator, denominator)]
+                left.append(np.full(len(at), rep))
+                right.append(reps[at])
     return _pairs(left, right)
 
 
+def _similar(own: np.ndarray, others: list[np.ndarray], numerator: int, denominator: int) -> np.ndarray:
+    """Whether own and each of the other (not empty) sets are to be linked."""
+    if not others:
+        return np.empty(0, bool)
+    every, sizes = np.concatenate(others), np.array([len(x) for x in others])
+    where = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    shared = np.add.reduceat((own[where] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return denominator * shared >= numerator * (sizes + len(own) - shared)
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sketches (a byte of each min-hash value) agree often enough."""
-    least = int(np.floor(max(0.0, threshold - SLACK) * VALUES))
 
     def run(found):
         for batch in found:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, VALUES) for i in (2, 3))
-            good = pa.array((x == y).sum(axis=1) >= least)
+            x, y = (_stacked(batch.column(i).to_pylist()) for i in (2, 3))
+            good = pa.array((x == y).sum(axis=1) >= _least(threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
     one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
@@ -371,7 +408,7 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
     without words has an empty set and is linked with nothing. Documents are linked when
     denominator * intersection >= numerator * union. class_id: the smallest doc_id of equal set; component_id: the
     smallest reachable one; kept: doc_id = component_id. Rows without doc_id are left out; rows that repeat a doc_id
-    get a row each. Any number of links is followed; none between different texts is skipped to save work.
+    get a row each. Any number of links is followed; which pairs are tested, and what may be missed, stands above.
     """
     spark = docs.sparkSession
     scratch, docs = Scratch(spark, "near"), texts(docs)
@@ -384,21 +421,11 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
     sketches = forest.select("rep", "sketch")
     alone = forest.select("rep", F.col("rep").alias("comp"), "size", "prefixes")
     linking = partial(linking_pairs, numerator=numerator, denominator=denominator)
-    seen: list[DataFrame] = []
-
-    def links(pairs, name):
-        pairs = pairs.where("a != b").distinct()
-        for before in seen:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{name}")
-        seen.append(pairs)
-        chosen = scratch.keep(likely(pairs, sketches, numerator / denominator), f"likely-{name}")
-        return scratch.keep(verified(chosen, docs, k, numerator, denominator, scratch), f"links-{name}")
-
-    def now(joined):
-        if joined is None:
-            return alone
-        return alone.drop("comp").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"), "size", "prefixes")
+    check = partial(verified, docs=docs, k=k, numerator=numerator, denominator=denominator, scratch=scratch)
+
+    def connected(joined, rows, key="comp"):
+        """The rows with their present component."""
+        return rows.drop(key).join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(key, F.coalesce("component", "rep")).drop("component")
 
     def join_more(joined, more):
         if more.isEmpty():
@@ -406,13 +433,22 @@ def near_groups(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: i
         # what was connected before counts as one node
         return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
-    joined = components(links(_regions(now(None), FIRST_TREES, shards).mapInArrow(linking, "a long, b long"), "first"), scratch)
-    joined = join_more(joined, links(_regions(now(joined), TREES, shards).mapInArrow(linking, "a long, b long"), "second"))
-    rest = open_rows(_trees(now(joined), TREES).select("prefix", F.col("tree").cast("long").alias("tree"), "rep", "comp", "size"), scratch)
-    third = links(small_pairs(rest, shards, numerator, denominator), "third")
-    third = third.unionByName(scratch.keep(crowded_links(rest, forest, docs, k, numerator, denominator, scratch), "crowded-links"))
+    first = _ordered(_trees(alone, FIRST_TREES).select("prefix", *_label(2), "rep", "comp", "size"), shards).mapInArrow(linking, "a long, b long")
+    first = scratch.keep(first.where("a != b").distinct(), "pairs")
+    joined = components(scratch.keep(check(scratch.keep(likely(first, sketches, numerator / denominator), "likely")), "links"), scratch)
+
+    rows = _trees(connected(joined, alone).select("rep", "comp", "size", "prefixes"), TREES)
+    inside = several(rows.select("prefix", F.col("tree").cast("long").alias("tree"), *_label(2), "rep", "comp", "size"), scratch)
+    second = _ordered(inside.select("prefix", "deeper1", "deeper2", "rep", "comp", "size").join(sketches, "rep").select("prefix", "deeper1", "deeper2", "rep", "comp", "size", "sketch"), shards)
+    second = scratch.keep(second.mapInArrow(partial(linking, sketched=True), "a long, b long").distinct(), "pairs")
+    joined = join_more(joined, scratch.keep(check(second), "links"))
+
+    rest = open_rows(several(connected(joined, inside.drop("deeper1", "deeper2")).select("prefix", "tree", "rep", "comp", "size"), scratch), scratch)
+    third = scratch.keep(small_pairs(rest, sketches, shards, numerator, denominator).distinct(), "pairs")
+    third = scratch.keep(check(third), "links").unionByName(scratch.keep(crowded_links(rest, forest, docs, k, numerator, denominator, scratch), "crowded-links"))
     tests = rest.where("largest is not null").select("rep", F.col("largest").alias("comp")).distinct()
-    third = third.unionByName(scratch.keep(tested(tests, joined.select(F.col("node").alias("rep"), F.col("component").alias("comp")), docs, k, numerator, denominator, scratch), "tested"))
+    members = joined.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    third = third.unionByName(scratch.keep(tested(tests, members, sketches, docs, k, numerator, denominator, scratch), "tested"))
     joined = join_more(joined, third)
     found = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     found = found.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
