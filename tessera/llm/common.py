@@ -13,10 +13,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch between Spark and a worker while an intermediate is written; Spark's own default is 64 MB.
+ARROW_BYTES, ARROW_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of a batch that a worker takes up at a time; a single longer text goes through alone.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: Ids that may be broadcast: 8 bytes each, so at most some 16 MB with overhead.
 BROADCAST_IDS = 500_000
 
@@ -45,6 +52,17 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Actions in here pass batches of ARROW_BYTES at most to workers (a single row may be larger)."""
+    before = spark.conf.get(ARROW_SETTING)
+    spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
+
+
 class Scratch:
     """Written intermediates of one run of an operator. Those that its lazy result reads stay until the application ends."""
 
@@ -58,7 +76,8 @@ class Scratch:
         self._count += 1
         path = f"{self.root}/{self._count:02d}-{name}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        with small_batches(self.spark):
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -83,3 +102,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def only_ids(rows: DataFrame, ids: DataFrame, n_ids: int, key: str = "doc_id") -> DataFrame:
     """The rows whose key is among ids (n_ids of them): by a broadcast within BROADCAST_IDS, else by a shuffled join."""
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("shuffle_hash"), key, "left_semi")
+
+
+def sliced(found, text: int = 1):
+    """The batches in slices of SLICE_ROWS rows and about SLICE_BYTES of the given column, so that what a worker makes of
+    texts at a time is bounded. An empty batch stays one slice."""
+    for batch in found:
+        for a in range(0, max(batch.num_rows, 1), SLICE_ROWS):
+            part = batch.slice(a, SLICE_ROWS)
+            column = part.column(text)
+            if column.nbytes <= SLICE_BYTES or not pa.types.is_string(column.type):
+                yield part
+                continue
+            start, size = 0, 0
+            for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+                if size and size + (n or 0) > SLICE_BYTES:
+                    yield part.slice(start, i - start)
+                    start, size = i, 0
+                size += n or 0
+            yield part.slice(start)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, only_ids, texts
+from .common import BROADCAST_IDS, Scratch, only_ids, sliced, texts
 from .components import components
 from .hashing import mix, separators, shingle_set, word_hashes
 
@@ -69,7 +69,7 @@ _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, prefixes array<long>,
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(found):
-        for batch in found:
+        for batch in sliced(found):
             n, h1, h2, prefixes, sketches = [], [], [], [], []
             for s in sets_of(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -375,7 +375,7 @@ def _sets(ids: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFram
     ids = scratch.keep(ids.distinct(), "ids")
 
     def shingle(found):
-        for batch in found:
+        for batch in sliced(found):
             sets = [s.tobytes() for s in sets_of(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -387,7 +387,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, numerator: int, denomina
     sets = _sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, k, scratch)
 
     def compare(found):
-        for batch in found:
+        for batch in sliced(found, 2):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
