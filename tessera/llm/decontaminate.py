@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, texts
-from .hashing import separators, windows, word_hashes
+from .common import BROADCAST_IDS, Scratch, sliced, texts
+from .hashing import powers, range_hashes, separators, windows, word_hashes
 
 MIN_TILE, COVERAGE = 5, 0.6
 #: Items and characters of one block; a block is what a task holds of the benchmark.
@@ -28,46 +28,66 @@ def words_of(found: list[str]):
 
 
 def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in pattern, start in text, length): maximal matches of at least ``least`` unmarked words, longest
-    first, none overlapping in either. Match candidates of the present length come from Karp-Rabin hashes of the
-    unmarked parts; a match over twice as long restarts the search at its length."""
+    """Tiles (start in pattern, start in text, length) of greedy string tiling: of what is unmarked, the longest common
+    runs of at least ``least`` words are marked, those of one length by ascending start in the pattern, each with the
+    first free start in the text; and so on with what is left.
+
+    The greatest length comes by bisection (a run of n words has runs of n - 1), where windows of one length meet by
+    Karp-Rabin hashes that run along the words; matches are compared word by word. A round costs the length of both
+    sides times its logarithm, however often words repeat."""
     free_p, free_t, tiles = np.ones(len(pattern), bool), np.ones(len(text), bool), []
-    pattern_list, text_list = pattern.tolist(), text.tolist()
-    size = max(least, min(20, len(pattern)))
-    while True:
-        found: dict[int, list[int]] = {}
-        for j in _unmarked(free_t, size):
-            found.setdefault(hash(tuple(text_list[j : j + size])), []).append(j)
-        matches, longest = [], 0
-        for i in _unmarked(free_p, size):
-            for j in found.get(hash(tuple(pattern_list[i : i + size])), ()):
-                n = 0
-                while i + n < len(pattern_list) and j + n < len(text_list) and free_p[i + n] and free_t[j + n] and pattern_list[i + n] == text_list[j + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                tiles.append((i, j, n))
-        if size == least:
-            # what overlapped a longer tile may still match beside it
-            if not matches:
-                return tiles
-        else:
-            size = max(least, size // 2)
-
-
-def _unmarked(free: np.ndarray, size: int) -> list[int]:
+    hashed_p, hashed_t = _running(pattern), _running(text)
+    longest = min(len(pattern), len(text))
+    while longest >= least:
+        low, high = least - 1, longest
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if _meeting(hashed_p, free_p, hashed_t, free_t, n)[0].size else (low, n - 1)
+        longest = low
+        if longest < least:
+            break
+        own, keys = _meeting(hashed_p, free_p, hashed_t, free_t, longest)
+        places = _unmarked(free_t, longest)
+        hashes = range_hashes(hashed_t, places, places + longest)
+        order = np.argsort(hashes, kind="stable")
+        hashes, places = hashes[order], places[order]
+        first, end = np.searchsorted(hashes, keys, "left"), np.searchsorted(hashes, keys, "right")
+        at = dict(zip(keys.tolist(), first.tolist(), strict=True))  # of each hash, the first place that may be free
+        for i, key, stop in zip(own.tolist(), keys.tolist(), end.tolist(), strict=True):
+            if not free_p[i : i + longest].all():
+                continue
+            while at[key] < stop and not free_t[places[at[key]] : places[at[key]] + longest].all():
+                at[key] += 1
+            for j in places[at[key] : stop].tolist():
+                if free_t[j : j + longest].all() and np.array_equal(pattern[i : i + longest], text[j : j + longest]):
+                    free_p[i : i + longest] = free_t[j : j + longest] = False
+                    tiles.append((i, j, longest))
+                    break
+        longest -= 1  # what overlapped a tile may still match beside it
+    return tiles
+
+
+def _running(words: np.ndarray) -> np.ndarray:
+    """Prefix sums from which each window's hash follows."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(len(words))[0][: len(words)], out=out[1:])
+    return out
+
+
+def _unmarked(free: np.ndarray, size: int) -> np.ndarray:
     """Starts of the windows of so many unmarked words."""
     if len(free) < size:
-        return []
+        return np.empty(0, np.int64)
     run = np.concatenate([[0], np.cumsum(free)])
-    return np.flatnonzero(run[size:] - run[:-size] == size).tolist()
+    return np.flatnonzero(run[size:] - run[:-size] == size)
+
+
+def _meeting(hashed_p, free_p, hashed_t, free_t, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in the pattern, hashes) of the unmarked windows of this size whose hash an unmarked one of the text has."""
+    own, there = _unmarked(free_p, size), _unmarked(free_t, size)
+    keys = range_hashes(hashed_p, own, own + size)
+    met = np.isin(keys, range_hashes(hashed_t, there, there + size))
+    return own[met], keys[met]
 
 
 class Block:
@@ -142,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         def run(found, shared=shared):
             block = shared.value
-            for batch in found:
+            for batch in sliced(found):
                 out = []
                 for doc, words in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist()), strict=True):
                     for item, places in sorted(block.hits(words).items()):
