@@ -228,6 +228,20 @@ def test_repeats(spark, length, gram, seed):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_ids(spark):
+    """Rows of one doc_id are documents in order of their digests; rows that repeat id and text are one document."""
+    r = random.Random(1)
+    w = "".join(r.choice("abcdefgh") for _ in range(150))
+    found = [(1, w), (1, "q" + w), (2, w), (2, w), (3, "z" * 20), (None, w), (4, None)]
+    docs = spark.createDataFrame(found, "doc_id long, text string")
+    first, second = sorted((w, "q" + w), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    left = "q" if second[0] == "q" else ""
+    want = [(1, 151 if left else 150, 150), (1, 150 if left else 151, 0), (2, 150, 150), (2, 150, 150), (3, 20, 0), (4, 0, 0)]
+    got = substring_dedup.remove_repeats(docs)
+    assert rows(got, "doc_id", "n_bytes", "n_removed") == sorted(want)
+    assert {bytes(r["kept"]) for r in got.collect()} == {first.encode(), left.encode(), b"", b"z" * 20}
+
+
 def test_repeats_in_long_text(spark):
     r = np.random.default_rng(2)
     part = "".join(r.choice(list("abcdefgh "), 1_200_000))
