@@ -74,7 +74,7 @@ class ByteEncoder(Encoder):
 
 
 #: Classes of characters for the word encoder.
-SPACE, LETTER, NUMBER, OTHER = range(4)
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 
 
 def _class_of(char: str) -> int:
@@ -103,7 +103,8 @@ class WordEncoder(Encoder):
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\s\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.short = regex.compile("'(?:[stmd]|re|ve|ll)").search
-        self.classes = np.array([_class_of(chr(i)) for i in range(0xFFFF)] + [OTHER], np.uint8)
+        # what Python's tables don't know yet, the library's newer ones may
+        self.classes = np.array([UNKNOWN if unicodedata.category(c) == "Cn" else _class_of(c) for c in map(chr, range(0x110000))], np.uint8)
 
     def ids(self, text: str) -> list[int]:
         if not text.isascii():
@@ -112,19 +113,23 @@ class WordEncoder(Encoder):
                 return self.whole(text)
         if "\0" in text:
             return self.whole(text)
-        return self.merge(self.marked(text.lower()))
+        marked = self.marked(text.lower())
+        return self.whole(text) if marked is None else self.merge(marked)
 
-    def marked(self, text: str) -> str:
+    def marked(self, text: str) -> str | None:
+        """The text with a NUL behind each pre-token; None if it has a character that isn't known here."""
         if "'" in text and self.short(text):
+            if not text.isascii() and (self.classes[np.frombuffer(text.encode("utf-32-le"), "<u4")] == UNKNOWN).any():
+                return None
             return self.pieces.sub(lambda m: m[0] + "\0", text)
         try:  # mostly a byte a character does
             coding, chars = "latin-1", np.frombuffer(text.encode("latin-1"), np.uint8)
             kinds = self.classes[chars]
         except UnicodeEncodeError:
             coding, chars = "utf-32-le", np.frombuffer(text.encode("utf-32-le"), "<u4")
-            kinds = self.classes[np.minimum(chars, 0xFFFF)]
-            for c in np.unique(chars[chars >= 0xFFFF]):
-                kinds[chars == c] = _class_of(chr(c))
+            kinds = self.classes[chars]
+            if (kinds == UNKNOWN).any():
+                return None
         ends = kinds != SPACE
         ends[:-1] &= (kinds[:-1] != kinds[1:]) | (kinds[:-1] == NUMBER)
         places = np.flatnonzero(ends)

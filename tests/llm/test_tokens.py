@@ -23,6 +23,20 @@ def test_ids_are_the_librarys(name):
         assert made.encode(text).tolist() == made.plain.encode(text, add_special_tokens=False).ids + [2], text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_every_character(name):
+    """All code points of the planes that have characters, some of the others, and random text over all planes."""
+    made = encoder(P.path(name))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    found = ["a" + c + "b" for c in every if ord(c) < 0x33000 or 0xE0000 <= ord(c) < 0xE0200 or ord(c) % 97 == 0]
+    r = random.Random(6)
+    found += ["".join(r.choice(every) if r.random() < 0.3 else chr(r.choice([32, 39, 65, 115, 0x300, 0x3B1])) for _ in range(r.randint(1, 30))) for _ in range(20_000)]
+    for a in range(0, len(found), 100_000):
+        part = found[a : a + 100_000]
+        for text, want in zip(part, made.plain.encode_batch(part, add_special_tokens=False), strict=True):
+            assert made.encode(text).tolist() == want.ids, ascii(text)
+
+
 def test_packing_of_lengths():
     r = random.Random(4)
     for _ in range(60):
