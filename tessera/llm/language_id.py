@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 
 #: Labelled rows of the text model, at most; hashed n-grams; weight of the text evidence per n-gram, and its cap.
 SAMPLE, FEATURES, TEMPER, MOST_GRAMS = 8_000, 1 << 16, 0.25, 400
@@ -64,14 +64,19 @@ class TextModel:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
     """The text model of the rows' lang column (rows with null lang or doc_id aren't used)."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("at"))
     n = rows.count()
-    share = min(1 << 20, int(sample / max(n, 1) * (1 << 20)))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", F.coalesce("text", F.lit("")).alias("text")).limit(sample)
+    chosen = rows
+    if n > sample:  # the ids of least hash, as many as sample allows; some 2 * sample hashes come here to find where to stop
+        below = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * 2 * sample / n))
+        counts = rows.where(F.col("at") < F.lit(below)).groupBy("at").agg(F.count("*").alias("n")).toArrow().sort_by("at")
+        within = np.flatnonzero(np.cumsum(counts.column("n").to_numpy()) <= sample)
+        chosen = rows.where(F.col("at") <= F.lit(int(counts.column("at")[int(within[-1])].as_py()) if len(within) else -(1 << 63)))
+    chosen = chosen.select("lang", "text")
 
     def count(found):
         total: dict[str, np.ndarray] = {}
-        for batch in found:
+        for batch in sliced(found):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[lang] = total.get(lang, 0) + np.bincount(grams(text), minlength=FEATURES)
         for lang, counts in total.items():
@@ -105,7 +110,7 @@ def fuse(rows: DataFrame, model: TextModel, name: str = "language") -> DataFrame
     scratch, shared = Scratch(spark, name), spark.sparkContext.broadcast(model)
 
     def score(found):
-        for batch in found:
+        for batch in sliced(found):
             scored = [shared.value.scores(t or "") for t in batch.column(1).to_pylist()]
             logs = np.array([s[0] for s in scored]).reshape(-1, k)
             evidence = [pa.array([s[1] for s in scored], pa.int64()), pa.array([s[2] for s in scored], pa.float64())]
