@@ -75,3 +75,7 @@ class DimensionNotShared(SemanticError):
 
 class QueryPlanError(SemanticError):
     pass
+
+
+class ConstraintViolation(SemanticError):
+    pass

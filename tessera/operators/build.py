@@ -58,16 +58,37 @@ def source_frame(source: Source, read) -> DataFrame:
 
 def changes(df: DataFrame, source: Source, since=None) -> DataFrame:
     """Rows to take up, by the source's change tracking: those after ``since``; for cdc the last state of each key, without
-    deleted ones; all of a full snapshot."""
+    deleted ones (see deletions); all of a full snapshot."""
     t = source.tracking
     if t is None or t.kind == "full_snapshot":
         return df
+    if t.kind == "cdc":
+        return _last_changes(df, source, since).where(~_DELETED(t.operation))
+    return df if since is None else df.where(F.col(t.timestamp) > F.lit(since))
+
+
+def _DELETED(operation: str) -> Column:
+    return F.coalesce(F.lower(F.col(operation)).isin("d", "delete"), F.lit(False))
+
+
+def _last_changes(df: DataFrame, source: Source, since) -> DataFrame:
+    t = source.tracking
     if since is not None:
         df = df.where(F.col(t.timestamp) > F.lit(since))
-    if t.kind == "cdc":
-        df = dedup(df, Dedup(source.primary_key, [f"{t.timestamp} desc"]))
-        df = df.where(~F.lower(F.col(t.operation)).isin("d", "delete"))
-    return df
+    return dedup(df, Dedup(source.primary_key, [f"{t.timestamp} desc"]))
+
+
+def deletions(df: DataFrame, source: Source, since=None) -> DataFrame:
+    """The keys whose last change (cdc) deletes them."""
+    return _last_changes(df, source, since).where(_DELETED(source.tracking.operation)).select(*source.primary_key)
+
+
+def apply_changes(target: DataFrame, df: DataFrame, source: Source, since=None) -> DataFrame:
+    """The target after a change feed (cdc): deleted keys go, other keys take their last state. The feed's last changes are
+    found once; the target meets only their keys."""
+    last = _last_changes(df, source, since)
+    kept = target.join(last.select(*source.primary_key), source.primary_key, "left_anti").select(target.columns)
+    return kept.unionByName(last.where(~_DELETED(source.tracking.operation)).select(target.columns))
 
 
 def is_aggregate(e: Expr) -> bool:
@@ -240,7 +261,8 @@ def snapshot(history: DataFrame | None, rows: DataFrame, unique_key: list[str],
 class Merge:
     """MERGE of a target and a source, as a DataFrame: clauses apply in order, the first that fits a row.
 
-    In conditions and values, target columns are t.<name>, source columns s.<name>.
+    In conditions and values, target columns are t.<name>, source columns s.<name>. A target row that a clause would change
+    by several source rows is an error.
     """
 
     def __init__(self, target: DataFrame, source: DataFrame, on: list[str]):
@@ -261,6 +283,7 @@ class Merge:
     def frame(self) -> DataFrame:
         t = self.target.select(*[F.col(c).alias(f"t__{c}") for c in self.target.columns], F.lit(True).alias("_t"))
         s = self.source.select(*[F.col(c).alias(f"s__{c}") for c in self.source.columns], F.lit(True).alias("_s"))
+        s = s.withColumn("_same", F.count("*").over(Window.partitionBy(*[f"s__{c}" for c in self.on])))
         on = reduce(lambda a, b: a & b, [F.col(f"t__{c}") == F.col(f"s__{c}") for c in self.on])
         joined = t.join(s, on, "full_outer" if self.inserts else "left")
         names = set(joined.columns)
@@ -275,9 +298,10 @@ class Merge:
             return compile(expression(text), resolve)
 
         both, only_s = F.col("_t").isNotNull() & F.col("_s").isNotNull(), F.col("_t").isNull()
-        which = F.when(F.lit(False), 0)
+        which, several = F.when(F.lit(False), 0), F.raise_error(F.lit("a target row of a merge matches several source rows")).cast("int")
         for i, (_, condition, _) in enumerate(self.clauses):
-            which = which.when(both & (value(condition) if condition else F.lit(True)), i)
+            fits = both & (value(condition) if condition else F.lit(True))
+            which = which.when(fits & (F.col("_same") > 1), several).when(fits, i)
         for i, (condition, _) in enumerate(self.inserts):
             which = which.when(only_s & (value(condition) if condition else F.lit(True)), 1000 + i)
         joined = joined.withColumn("_clause", F.coalesce(which.otherwise(None), F.when(only_s, F.lit(-2)).otherwise(F.lit(-1))))
@@ -309,6 +333,12 @@ def update(target: DataFrame, values: dict[str, str], where: str | None = None)
     return target.select(*[F.when(hit, compile(expression(values[c]), resolve)).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in values else F.col(c) for c in target.columns])
 
 
+def update_from(target: DataFrame, source: DataFrame, on: list[str], values: dict[str, str], where: str | None = None) -> DataFrame:
+    """UPDATE ... FROM source: target rows that match a source row take the values (t.<name>, s.<name>); several matches of one
+    row are an error."""
+    return Merge(target, source, on).when_matched_update(values, where).frame()
+
+
 def delete(target: DataFrame, where: str | None = None, using: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Without rows that meet the condition (null is no match), or whose key is in ``using``."""
     if using is not None:

@@ -7,6 +7,7 @@ Text is SQL of the expression language; each call returns a new relation, and fr
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,7 +57,8 @@ class Relation:
                 out.append(compile(ranged, self._resolve).alias(n))
             else:
                 out.append(compile(made, self._resolve).alias(n))
-        return Relation(df.select(*plain, *out))
+        own = set(df.columns) - set(self.df.columns)
+        return Relation(df.select(*plain, *out).drop(*own) if own else df.select(*plain, *out))
 
     def where(self, *conditions: str | Expr) -> Relation:
         return Relation(reduce(lambda df, c: df.where(compile(expression(c), self._resolve)), conditions, self.df))
@@ -71,9 +73,14 @@ class Relation:
         out = Relation(grouped.agg(*[compile(expression(e), self._resolve).alias(n) for n, e in aggregates.items()]))
         return out.where(having) if having is not None else out
 
-    def grouping_sets(self, keys: list[str], kind: str, **aggregates: str) -> Relation:
-        """kind: "rollup" or "cube"."""
-        return Relation(getattr(self.df, kind)(*keys).agg(*[compile(expression(e), self._resolve).alias(n) for n, e in aggregates.items()]))
+    def grouping_sets(self, keys: list[str], kind: str | list[list[str]], **aggregates: str) -> Relation:
+        """kind: "rollup", "cube", or the sets themselves; grouping(key) among the aggregates tells whether a key is left out
+        of a row's set (1) or not (0)."""
+        flags = {n: m[1] for n, e in aggregates.items() if isinstance(e, str) and (m := re.fullmatch(r"\s*grouping\((\w+)\)\s*", e, re.IGNORECASE))}
+        sums = [F.grouping(flags[n]).cast("long").alias(n) if n in flags else compile(expression(e), self._resolve).alias(n) for n, e in aggregates.items()]
+        if isinstance(kind, str):
+            return Relation(getattr(self.df, kind)(*keys).agg(*sums))
+        return Relation(self.df.groupingSets([[F.col(k) for k in s] for s in kind], *[F.col(k) for k in keys]).agg(*sums).select(*keys, *aggregates))
 
     def order_by(self, *keys: str) -> Relation:
         """"x", "x desc", "x desc nulls first"; nulls are last unless said otherwise."""
@@ -127,8 +134,12 @@ class Relation:
         return Relation(rest.where(keep).drop("_all", "_some"))
 
     def with_scalar(self, name: str, other: Relation) -> Relation:
-        """A scalar subquery's value as a column; the other has one row, being an ungrouped aggregate."""
-        return Relation(self.df.crossJoin(F.broadcast(other.df.select(F.col(other.df.columns[0]).alias(name)))))
+        """A scalar subquery's value as a column: null if the other has no row, an error if it has several. The other is
+        aggregated to one row, which is what is broadcast."""
+        key = other.df.columns[0]
+        one = other.df.agg(F.first(key).alias("_value"), F.count("*").alias("_n"))
+        several = F.raise_error(F.lit("a scalar subquery gave several rows")).cast(other.df.schema[key].dataType)
+        return Relation(self.df.crossJoin(F.broadcast(one.select(F.when(F.col("_n") > 1, several).otherwise(F.col("_value")).alias(name)))))
 
 
 def rel(df: DataFrame, alias: str | None = None) -> Relation:

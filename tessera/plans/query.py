@@ -448,6 +448,10 @@ class Report:
     limit: int | None = None
 
 
+#: Values that a pivot without column_values may find.
+MOST_PIVOT_VALUES = 10_000
+
+
 @dataclass
 class Pivot:
     """rows x columns of values (measures). column_values: those to show, else all that occur. totals: any of "rows" (a
@@ -495,7 +499,10 @@ def plan_pivot(planner: Planner, pivot: Pivot) -> DataFrame:
         df = df.where(compile(w, resolve))
     values = pivot.column_values
     if values is None:
-        values = [r[0] for r in df.select(compile(across, resolve).alias("v")).where("v is not null").distinct().orderBy("v").collect()]
+        found = df.select(compile(across, resolve).alias("v")).where("v is not null").distinct().limit(MOST_PIVOT_VALUES + 1).collect()
+        if len(found) > MOST_PIVOT_VALUES:
+            raise errors.QueryPlanError(f"a pivot over more than {MOST_PIVOT_VALUES} values: name those to show")
+        values = sorted(r[0] for r in found)
     short = {p: p.name.rpartition(".")[2] for p in parts}
     columns = [planner.column_of(p, fact, across.eq(v)).alias(f"{v}_{short[p]}") for v in values for p in parts]
     total = [planner.column_of(p, fact).alias(f"Total_{short[p]}") for p in parts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,13 @@ from .expr import compile, expression, parse
 from .fixtures import engine, model, reader
 from .infer import candidates, classify
 from .lineage import LineageGraph
-from .model import Source, Table
+from .model import Model, Source, Table, sum_
 from .operators import build
 from .operators.build import Merge
 from .operators.relational import recursive, rel
 from .plans.query import Pivot, Query, Report, agg, delta, derived, growth, m, mtd, prior_period, prior_quarter, prior_year, qtd, rolling_avg, rolling_sum, ytd
-from .sources.catalog import ParquetFolder, column_stats, value_overlap
+from .sources.store import ColumnDef, Sinks, Store, check, foreign_key, primary_key, unique
+from .sources.catalog import ParquetFolder, column_stats, execute, value_overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -295,7 +298,35 @@ add("meta_column_stats", lambda spark, d: column_stats(ParquetFolder(spark, d).r
 add("meta_value_overlap", lambda spark, d: value_overlap(ParquetFolder(spark, d).read("customer"), "c_custkey", ParquetFolder(spark, d).read("events"), "user_id"),
     "WITH v AS (SELECT DISTINCT c_custkey AS v FROM customer ORDER BY 1 LIMIT 1000), r AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE v IN (SELECT user_id FROM events)) AS matched FROM v) SELECT sampled, matched, round(100.0::DOUBLE * matched / sampled, 4) AS overlap_pct, sampled = matched AS right_is_superset, (SELECT count(user_id) = count(DISTINCT user_id) FROM events) AS right_unique FROM r")
 add("meta_sample_rows", lambda spark, d: ParquetFolder(spark, d).read("region").orderBy("r_regionkey").limit(3), "SELECT * FROM region ORDER BY r_regionkey LIMIT 3")
-add("lineage_edges", lambda spark, d: spark.createDataFrame(LineageGraph(model()).rows(), "from_entity string, from_column string, to_entity string, to_column string, kind string"))
+
+
+def lineage_model() -> Model:
+    """A model of which every edge can be told by hand."""
+    made = Model()
+    made.source("orders").columns(o_orderkey=build_pk(), o_totalprice="double", o_orderstatus="string")
+    made.table("big").from_("orders").filter("o_totalprice > 10").columns("o_orderkey", price="o_totalprice * 2")
+    made.fact("sales").grain("orders.o_orderkey").measure("revenue", sum_("o_totalprice"))
+    return made.report("r", Report(["sales.revenue"], ["orders.o_orderstatus"])).query("q", Query([("orders.o_orderkey", "k")], [m("sales.revenue")], ["orders.o_orderstatus = 'F'"]))
+
+
+add("lineage_edges", lambda spark, d: spark.createDataFrame(LineageGraph(lineage_model()).rows(), "from_entity string, from_column string, to_entity string, to_column string, kind string"),
+    """SELECT * FROM (VALUES ('orders', 'o_orderkey', 'big', 'o_orderkey', 'pass_through'), ('orders', 'o_totalprice', 'big', 'price', 'transform'), ('orders', 'o_totalprice', 'big', 'o_orderkey', 'filter'),
+    ('orders', 'o_totalprice', 'big', 'price', 'filter'), ('orders', 'o_orderkey', 'sales', 'o_orderkey', 'pass_through'), ('orders', 'o_totalprice', 'sales', 'revenue', 'aggregate'),
+    ('sales', 'revenue', 'r', 'revenue', 'pass_through'), ('orders', 'o_orderstatus', 'r', 'o_orderstatus', 'pass_through'), ('orders', 'o_orderstatus', 'r', 'revenue', 'group_by'),
+    ('sales', 'revenue', 'q', 'revenue', 'pass_through'), ('orders', 'o_orderkey', 'q', 'o_orderkey', 'pass_through'), ('orders', 'o_orderkey', 'q', 'revenue', 'group_by'), ('orders', 'o_orderstatus', 'q', 'revenue', 'filter'))
+    AS t(from_entity, from_column, to_entity, to_column, kind)""")
+add("lineage_upstream", lambda spark, d: spark.createDataFrame(LineageGraph(lineage_model()).upstream("q", "revenue"), "entity string, column_name string"),
+    "SELECT * FROM (VALUES ('sales', 'revenue'), ('orders', 'o_totalprice'), ('orders', 'o_orderkey'), ('orders', 'o_orderstatus')) AS t(entity, column_name)")
+add("lineage_impact", lambda spark, d: spark.createDataFrame([(e,) for e in LineageGraph(lineage_model()).impact("orders", "o_totalprice")], "entity string"), "SELECT * FROM (VALUES ('big'), ('sales'), ('r'), ('q')) AS t(entity)")
+add("meta_execute", lambda spark, d: _executed(spark, d), "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1")
+add("meta_row_count", lambda spark, d: spark.createDataFrame([(t, ParquetFolder(spark, d).row_count(t)) for t in ("region", "nation", "orders")], "name string, n long"), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "orders")))
+add("meta_tables", lambda spark, d: spark.createDataFrame([(t, *c[:2]) for t in ParquetFolder(spark, d).tables() if t in ("region", "nation") for c in ParquetFolder(spark, d).columns(t)], "name string, column_name string, type string"),
+    "SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'string')) AS t(name, column_name, type)")
+
+
+def _executed(spark, d) -> DataFrame:
+    ParquetFolder(spark, d).read("nation").createOrReplaceTempView("tessera_nation")
+    return execute(spark, "SELECT n_regionkey, count(*) AS n FROM tessera_nation WHERE n_nationkey > ? GROUP BY 1", [3])
 
 
 def renamed(spark, d) -> dict[str, DataFrame]:
@@ -313,3 +344,142 @@ def _inferred(spark, d) -> DataFrame:
 
 add("infer_relationships", _inferred)
 add("classify_tables", lambda spark, d: spark.createDataFrame([(n, classify(df, {"orders": 1, "customers": 1}.get(n, 0), True)) for n, df in renamed(spark, d).items()], "table_name string, kind string"))
+
+
+# --- store: definitions, changes, sinks -----------------------------------------------------------------------------------
+
+
+def new_store(spark, d) -> Store:
+    """An empty store in the shared folder; in local mode, where none is set, in a temporary one. It goes with the process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tessera-store-")
+    return Store(spark, f"{shared.rstrip('/')}/tessera-store/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}")
+
+
+def stored(name: str, run, sql: str) -> None:
+    """run(store, read) -> DataFrame."""
+    add(name, lambda spark, d: run(new_store(spark, d), ParquetFolder(spark, d).read), sql)
+
+
+def _nations(store: Store, read) -> Store:
+    store.create_table("nations", {"n_nationkey": ColumnDef("int", nullable=False), "n_name": "string", "n_regionkey": "int"}, [primary_key("n_nationkey"), unique("n_name"), check("n_regionkey >= 0", "region_check")], as_=read("nation"))
+    return store
+
+
+def _after(change):
+    def run(store: Store, read) -> DataFrame:
+        change(_nations(store, read))
+        return store.read("nations")
+
+    return run
+
+
+def _create_defaults(store: Store, read) -> DataFrame:
+    store.create_table("t", {"n_name": "string", "code": ColumnDef("int", default="7"), "label": ColumnDef("string", default="upper(n_name)")})
+    store.create_table("t", {"n_name": "string"}, if_not_exists=True)
+    store.insert("t", read("nation").select("n_name"))
+    return store.read("t")
+
+
+def _violated(store: Store, read) -> DataFrame:
+    store.create_table("regions", as_=read("region").where("r_regionkey > 0"))
+    rules = [primary_key("n_regionkey"), unique("n_name"), check("n_nationkey < 20", "few"), foreign_key(["n_regionkey"], "regions", ["r_regionkey"], "fk")]
+    store._commit("t", read("nation"), {n: ColumnDef("int" if n != "n_name" else "string") for n in read("nation").columns}, rules)
+    return store.violations("t")
+
+
+def _views(store: Store, read) -> DataFrame:
+    _nations(store, read)
+    store.create_view("v", lambda: store.read("nations").where("n_regionkey = 1").select("n_nationkey"))
+    refresh = store.create_materialized_view("mv", lambda: store.read("nations").groupBy("n_regionkey").agg(F.count("*").alias("n")))
+    before = store.read("mv").withColumn("at", F.lit("before")).collect()
+    store.delete("nations", "n_nationkey < 5")
+    refresh()
+    old = store.spark.createDataFrame(before, "n_regionkey int, n long, at string")
+    view = store.read("v").select(F.col("n_nationkey").alias("n_regionkey"), F.lit(None).cast("long").alias("n"), F.lit("view").alias("at"))
+    return old.unionByName(store.read("mv").withColumn("at", F.lit("after"))).unionByName(view)
+
+
+def _identity(store: Store, read) -> DataFrame:
+    store.create_table("t", {"id": ColumnDef("long", identity=True), "n_name": "string"})
+    store.insert("t", read("nation").select("n_name"))
+    store.insert("t", read("region").select(F.col("r_name").alias("n_name")))
+    return store.read("t").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), (F.min("id") > 0).alias("positive"))
+
+
+def _dropped(store: Store, read) -> DataFrame:
+    _nations(store, read).create_table("gone", as_=read("region"))
+    store.drop_table("gone")
+    store.drop_table("gone", if_exists=True)
+    return store.spark.createDataFrame([(t,) for t in store.tables()], "name string")
+
+
+_N = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+stored("ddl_create_as", _after(lambda s: None), _N)
+stored("ddl_create_defaults", _create_defaults, "SELECT n_name, CAST(7 AS INTEGER) AS code, upper(n_name) AS label FROM nation")
+stored("ddl_identity", _identity, "SELECT 25 + 5 AS n, 30 AS ids, true AS positive")
+stored("ddl_constraints", _violated, "SELECT 'pk' AS \"constraint\", count(*) - count(DISTINCT n_regionkey) AS violations FROM nation UNION ALL SELECT 'unique_n_name', count(*) - count(DISTINCT n_name) FROM nation UNION ALL SELECT 'few', count(*) FILTER (WHERE n_nationkey >= 20) FROM nation UNION ALL SELECT 'fk', count(*) FILTER (WHERE n_regionkey = 0) FROM nation UNION ALL SELECT 'pk: n_regionkey not null', 0")
+stored("ddl_add_column", _after(lambda s: s.add_column("nations", "twice", ColumnDef("int", default="n_nationkey * 2"))), "SELECT *, CAST(n_nationkey * 2 AS INTEGER) AS twice FROM nation")
+stored("ddl_drop_column", _after(lambda s: (s.drop_constraint("nations", "unique_n_name"), s.drop_column("nations", "n_name"))), "SELECT n_nationkey, n_regionkey FROM nation")
+stored("ddl_rename_column", _after(lambda s: s.rename_column("nations", "n_name", "title")), "SELECT n_nationkey, n_name AS title, n_regionkey FROM nation")
+stored("ddl_alter_type", _after(lambda s: s.alter_type("nations", "n_regionkey", "long")), "SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+stored("ddl_truncate", _after(lambda s: s.truncate("nations")), f"{_N} WHERE false")
+stored("ddl_drop_table", _dropped, "SELECT 'nations' AS name")
+stored("ddl_views", _views, "SELECT n_regionkey, count(*) AS n, 'before' AS at FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, count(*), 'after' FROM nation WHERE n_nationkey >= 5 GROUP BY 1 UNION ALL SELECT n_nationkey, NULL, 'view' FROM nation WHERE n_regionkey = 1 AND n_nationkey >= 5")
+stored("dml_returning_update", lambda s, read: _nations(s, read).update("nations", {"n_name": "lower(n_name)"}, "n_regionkey = 2"), "SELECT n_nationkey, lower(n_name) AS n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+stored("dml_returning_delete", lambda s, read: _nations(s, read).delete("nations", "n_nationkey > 20"), f"{_N} WHERE n_nationkey > 20")
+stored("dml_returning_insert", lambda s, read: _nations(s, read).insert("nations", read("nation").select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.concat("n_name", F.lit("2")).alias("n_name"), "n_regionkey"), "nothing", ["n_nationkey"]), "SELECT CAST(n_nationkey + 20 AS INTEGER) AS n_nationkey, n_name || '2' AS n_name, n_regionkey FROM nation WHERE n_nationkey >= 5")
+add("dml_update_from", lambda spark, d: build.update_from(_nation(spark, d), _newer(spark, d), ["n_nationkey"], {"n_name": "s.n_name || t.n_name"}), f"WITH {NEWER} SELECT t.n_nationkey, coalesce(s.n_name || t.n_name, t.n_name) AS n_name, t.n_regionkey FROM nation t LEFT JOIN s ON t.n_nationkey = s.n_nationkey")
+_feed = lambda spark, d: ParquetFolder(spark, d).read("events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "click", "delete").otherwise("update").alias("op"))
+_cdc = lambda: Source("e").columns(user_id=build_pk()).change_tracking("cdc", "event_id", "op")
+add("src_cdc_applied", lambda spark, d: build.apply_changes(_feed(spark, d).where("event_id < 200").groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("value", F.lit(0.0)), _feed(spark, d), _cdc(), 100),
+    "WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id > 100) WHERE n = 1) SELECT user_id, max(event_id) AS event_id, 0.0::DOUBLE AS value FROM events WHERE event_id < 200 AND user_id NOT IN (SELECT user_id FROM last) GROUP BY 1 UNION ALL SELECT user_id, event_id, value FROM last WHERE event_type <> 'click'")
+add("src_cdc_deletions", lambda spark, d: build.deletions(_feed(spark, d), _cdc()), "SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'click'")
+add("frame_groups_star", lambda spark, d: rel(ParquetFolder(spark, d).read("nation")).select("*", x="sum(n_nationkey) over (order by n_regionkey groups between 1 preceding and current row)").frame(), "SELECT *, CAST(sum(n_nationkey) OVER (ORDER BY n_regionkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS x FROM nation")
+add("grouping_sets", lambda spark, d: rel(ParquetFolder(spark, d).read("lineitem")).grouping_sets(["l_returnflag", "l_linestatus"], [["l_returnflag", "l_linestatus"], ["l_returnflag"], []], n="count(*)", g="grouping(l_linestatus)").frame(),
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+
+
+def _sink_model() -> Model:
+    made = Model()
+    made.source("orders").columns(o_orderkey=build_pk(), o_totalprice="double", o_orderdate="timestamp")
+    made.table("recent").from_("orders").filter("year(o_orderdate) >= 1998").columns("o_orderkey", "o_totalprice", "o_orderdate")
+    made.tables["recent"].strategy = {"unique_key": ["o_orderkey"], "incremental_key": "o_orderdate", "lookback": "30 days", "updated_at": "o_orderdate"}
+    return made
+
+
+def _sink(kind: str):
+    """The table is built from the older half of the orders first, then from all, with their prices as they are now."""
+
+    def run(store: Store, read) -> DataFrame:
+        made, state = _sink_model(), {"rows": read("orders").where("o_orderdate < timestamp_ntz '2000-01-01'").withColumn("o_totalprice", F.lit(0.0))}
+        sinks = Sinks(made, lambda name: build.table_frame(made.tables[name], lambda _: state["rows"]), store)
+        sinks.build("recent", kind)
+        state["rows"] = read("orders") if kind != "snapshot" else read("orders").withColumn("o_orderdate", F.expr("o_orderdate + interval 1 day"))
+        return sinks.build("recent", kind)
+
+    return run
+
+
+_R = "FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"
+for _kind in ("view", "table"):
+    stored(f"sink_{_kind}", _sink(_kind), f"SELECT o_orderkey, o_totalprice, o_orderdate {_R}")
+stored("sink_incremental", _sink("incremental"), f"WITH t AS (SELECT max(o_orderdate) - INTERVAL 30 DAY AS hi FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') SELECT o_orderkey, CASE WHEN o_orderdate > hi THEN o_totalprice ELSE 0.0::DOUBLE END AS o_totalprice, o_orderdate {_R.replace('orders', 'orders, t')}")
+stored("sink_snapshot", _sink("snapshot"),
+    f"SELECT o_orderkey, 0.0::DOUBLE AS o_totalprice, o_orderdate, o_orderdate AS valid_from, o_orderdate + INTERVAL 1 DAY AS valid_to {_R} AND o_orderdate < TIMESTAMP '2000-01-01' UNION ALL SELECT o_orderkey, o_totalprice, o_orderdate + INTERVAL 1 DAY, o_orderdate + INTERVAL 1 DAY, NULL FROM orders WHERE o_orderdate + INTERVAL 1 DAY >= TIMESTAMP '1998-01-01'")
+
+
+def _report_table(store: Store, read) -> DataFrame:
+    """Made, taken as it is within the four hours, and made anew after them."""
+    rows = [lambda n=n: read("nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).withColumn("run", F.lit(n)) for n in range(3)]
+    sinks, out = Sinks(Model(), None, store), []
+    for made, at in zip(rows, (0.0, 14_399.0, 14_400.0), strict=True):
+        df, fresh = sinks.report("by_region", made, "4 hours", 1_000.0 + at)
+        out.append(store.spark.createDataFrame(df.withColumn("fresh", F.lit(fresh)).collect(), "n_regionkey int, n long, run int, fresh boolean"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+stored("report_table_refresh", _report_table, "SELECT n_regionkey, count(*) AS n, r.run, r.fresh FROM nation, (VALUES (0, true), (0, false), (2, true)) AS r(run, fresh) GROUP BY 1, 3, 4")
