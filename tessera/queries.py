@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .expr import compile, expression, parse
 from .fixtures import engine, model, reader
-from .infer import candidates, classify
+from .infer import candidates, classify, inferred, join_factor, suggests_foreign_key
 from .lineage import LineageGraph
 from .model import Model, Source, Table, sum_
 from .operators import build
@@ -342,8 +342,48 @@ def _inferred(spark, d) -> DataFrame:
     return spark.createDataFrame([(c.from_table, c.from_column, c.to_table, c.to_column, c.rule, c.score, kind) for c, kind in found], "from_table string, from_column string, to_table string, to_column string, rule string, score double, cardinality string")
 
 
-add("infer_relationships", _inferred)
-add("classify_tables", lambda spark, d: spark.createDataFrame([(n, classify(df, {"orders": 1, "customers": 1}.get(n, 0), True)) for n, df in renamed(spark, d).items()], "table_name string, kind string"))
+add("infer_relationships", _inferred,
+    """SELECT 'orders' AS from_table, 'customer_id' AS from_column, 'customers' AS to_table, 'customer_id' AS to_column, 'pk_match' AS rule, 0.8::DOUBLE AS score, 'many_to_one' AS cardinality WHERE (SELECT count(*) FROM orders) > 0
+    UNION ALL SELECT 'customers', 'nation_id', 'nations', 'nation_id', 'pk_match', 0.8, 'many_to_one'""")
+
+
+def _weighed(spark, d, preset: str) -> DataFrame:
+    read = ParquetFolder(spark, d).read
+    tables = {**renamed(spark, d), "dim_regions": read("region").toDF("region_id", "title"), "notes": read("region").toDF("ref_customer", "order_count")}
+    tables["notes"] = tables["notes"].select(F.col("ref_customer").cast("int"), F.col("ref_customer").alias("order_count"))
+    found = inferred(tables, {"customers": "customer_id", "orders": "order_id", "nations": "nation_id", "dim_regions": "region_id"}, foreign_keys=[("orders", "status", "customers", "segment")], preset=preset)
+    return spark.createDataFrame([(c.from_table, c.from_column, c.to_table, c.to_column, c.rule, round(c.score, 3)) for c in found], "from_table string, from_column string, to_table string, to_column string, rule string, score double")
+
+
+def _weighed_sql(naming: float, least: float, most: float) -> str:
+    """The formula of the signals in SQL: names and types weighed, less what counts against a name."""
+    rows = [("orders", "customer_id", "customers", "customer_id", "pk_match", 0.65, 1.0, 1.0, 0.0), ("customers", "nation_id", "nations", "nation_id", "pk_match", 0.65, 1.0, 1.0, 0.0), ("nations", "region_id", "dim_regions", "region_id", "suffix_id_dim", 0.82, 1.0, 1.0, 0.0), ("notes", "ref_customer", "customers", "customer_id", "semantic_ref", 0.70, None, 0.9, 0.0), ("notes", "order_count", "orders", "order_id", "table_embed", 0.60, None, 0.9, 0.85)]
+    values = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in rows)
+    score = f"greatest(0, (name * {naming} + coalesce(same, 0) * {naming} + type * 0.75) / (CASE WHEN same IS NULL THEN {naming} ELSE 2 * {naming} END + 0.75) - least({most}, against * 0.9))"
+    return f"SELECT from_table, from_column, to_table, to_column, rule, round({score}, 3)::DOUBLE AS score FROM (VALUES {values}) AS t(from_table, from_column, to_table, to_column, rule, name, same, type, against) WHERE {score} >= {least} UNION ALL SELECT 'orders', 'status', 'customers', 'segment', 'foreign_key', 1.0"
+
+
+for _preset, _given in (("default", (0.85, 0.5, 0.8)), ("high_precision", (0.75, 0.7, 0.9)), ("high_recall", (0.90, 0.4, 0.6))):
+    add(f"infer_weighed_{_preset}", lambda spark, d, preset=_preset: _weighed(spark, d, preset), _weighed_sql(*_given))
+add("infer_verdict", lambda spark, d: _verdict(spark, d), "SELECT *, round(100.0 * pct / 100, 4)::DOUBLE AS join_factor FROM (SELECT 'events' AS from_table, 100.0::DOUBLE AS pct, true AS foreign_key) UNION ALL SELECT 'shifted', round(100.0 * count(*) FILTER (WHERE c_custkey + 100 IN (SELECT c_custkey FROM customer)) / count(*), 4)::DOUBLE, false, round(count(*) FILTER (WHERE c_custkey + 100 IN (SELECT c_custkey FROM customer)) / count(*), 6)::DOUBLE FROM (SELECT DISTINCT c_custkey FROM customer ORDER BY 1 LIMIT 1000)".replace("round(100.0 * pct / 100, 4)", "round(pct / 100, 6)"))
+
+
+def _verdict(spark, d) -> DataFrame:
+    read, out = ParquetFolder(spark, d).read, []
+    for name, df in (("events", read("events").select(F.col("user_id").alias("k"))), ("shifted", read("customer").select((F.col("c_custkey") + 100).alias("k")))):
+        r = value_overlap(df, "k", read("customer"), "c_custkey").collect()[0]
+        out.append((name, r["overlap_pct"], suggests_foreign_key(r["overlap_pct"], r["right_is_superset"], r["right_unique"]), round(join_factor(r["overlap_pct"], 1, False, r["right_unique"]), 6)))
+    return spark.createDataFrame(out, "from_table string, pct double, foreign_key boolean, join_factor double")
+
+
+def _classified(spark, d) -> DataFrame:
+    """The foreign keys that classify counts are the inferred ones."""
+    tables, keys = renamed(spark, d), {"customers": "customer_id", "orders": "order_id", "nations": "nation_id"}
+    links = {(c.from_table, c.from_column) for c in candidates(tables, keys)}
+    return spark.createDataFrame([(n, classify(df, sum(t == n for t, _ in links), n in keys)) for n, df in tables.items()], "table_name string, kind string")
+
+
+add("classify_tables", _classified, "SELECT * FROM (VALUES ('orders', 'fact'), ('customers', 'fact'), ('nations', 'dimension')) AS t(table_name, kind)")
 
 
 # --- store: definitions, changes, sinks -----------------------------------------------------------------------------------

@@ -193,3 +193,33 @@ def test_named_queries(small):
     assert small.list_queries() == ["top"] and small.with_lineage().execute_named("top").collect()[0]["revenue"] == 30
     with pytest.raises(errors.UnknownQuery):
         small.execute_named("nothing")
+
+
+def test_what_is_refused(spark):
+    from tessera import errors
+    from tessera.operators import build
+    from tessera.operators.relational import rel
+    from tessera.sources.store import Store, check, foreign_key, primary_key, seconds
+
+    two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (9, "z")], "k int, v string")
+    with pytest.raises(Exception, match="several rows"):
+        rel(two).with_scalar("x", rel(twice)).frame().collect()
+    assert [r["x"] for r in rel(two).with_scalar("x", rel(twice.limit(0))).frame().collect()] == [None, None]
+    with pytest.raises(Exception, match="several source rows"):
+        build.update_from(two, twice, ["k"], {"v": "s.v"}).collect()
+    # no clause changes the row, so nothing is ambiguous
+    assert build.Merge(two, twice, ["k"]).when_matched_delete("t.v = 'q'").frame().count() == 3
+    assert seconds("4 hours") == 14_400 and seconds("2 weeks") == 1_209_600
+    import tempfile
+
+    store = Store(spark, "file://" + tempfile.mkdtemp())
+    store.create_table("t", as_=two, constraints=[primary_key("k"), check("k < 9")])
+    store.create_table("u", {"k": "int"}, [foreign_key(["k"], "t", ["k"])])
+    for rows in (twice, spark.createDataFrame([(10, "q")], "k int, v string"), spark.createDataFrame([(None, "q")], "k int, v string")):
+        with pytest.raises(errors.ConstraintViolation):
+            store.insert("t", rows)
+    with pytest.raises(errors.ConstraintViolation):
+        store.insert("u", spark.createDataFrame([(5,)], "k int"))
+    store.insert("u", spark.createDataFrame([(1,), (None,)], "k int"))
+    assert store.read("t").count() == 2 and store.read("u").count() == 2
