@@ -95,6 +95,25 @@ def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     )
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) in which doc_id is a key, and the way back. Mostly that is docs itself and None. Rows that repeat a
+    doc_id become documents of their own, numbered anew in order of doc_id and their texts' SHA-256; rows that repeat both
+    become one. The way back is (doc_id, key), a row for each row of docs; see returned."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs, None
+    shards, with_sha = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.withColumn("sha", F.sha2("text", 256))
+    rows = with_sha.select("doc_id", "sha").distinct().repartitionByRange(shards, "doc_id", "sha").sortWithinPartitions("doc_id", "sha")
+    rows = scratch.keep(rows.withColumn("key", F.monotonically_increasing_id()), "keys")  # ascending with the place in this order
+    joined = with_sha.join(rows, ["doc_id", "sha"])
+    own = joined.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    return scratch.keep(own, "documents"), scratch.keep(joined.select("doc_id", "key"), "back")
+
+
+def returned(found: DataFrame, back: DataFrame | None) -> DataFrame:
+    """The rows found for documents of keyed, for the rows that it was given."""
+    return found if back is None else back.join(found.withColumnRenamed("doc_id", "key"), "key").drop("key")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only_ids, texts
+from .common import Scratch, keyed, only_ids, returned, texts
 from .components import components
 from .hashing import BASE, mix, powers
 
@@ -372,9 +372,11 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Lines end at line feeds. Of lines that are alike, over any number of steps, the first stays (smallest doc_id, then
     place in the document). Lines of white space alone stay. Null texts are empty: one line, nothing removed. Rows without
-    doc_id are left out; doc_id is a key.
+    doc_id are left out. Rows that repeat a doc_id are documents of their own, in order of their texts' SHA-256; rows that
+    repeat both doc_id and text are one document, and get its result each.
     """
     scratch, docs = Scratch(docs.sparkSession, "lines"), texts(docs)
+    docs, back = keyed(docs, scratch)
     _, gone = removed_lines(docs, scratch)
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
@@ -391,4 +393,5 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string()), pa.array(left, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_removed", "kept_sha256", "text"])
 
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string")
+    found = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
+    return returned(found.mapInArrow(cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"), back)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts
+from .common import Scratch, keyed, returned, texts
 
 #: The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -278,10 +278,10 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
     Counts and base_sha256 are of base spans alone; spans has those and the added ones as kind:start:end, by start, then
     kind in the order of KINDS; places are code points, ends exclusive. Null texts are empty; rows without doc_id are
-    left out; repeated rows give a row each.
+    left out; rows that repeat a doc_id are documents of their own and give a row each.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    docs = texts(docs)
+    docs, back = keyed(texts(docs), scratch)
     rows = scratch.keep(docs.mapInArrow(_scan, _ROW), "rows")
     edges = rows.select(F.explode("found").alias("f")).select(F.explode("f.patterns").alias("pattern"), F.element_at("f.patterns", 1).alias("head"), "f.value", "f.kind").distinct()
     edges = scratch.keep(edges, "edges")
@@ -299,6 +299,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     )
     spans = F.array_sort(F.concat(base, F.col("added")))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return rows.join(added, "doc_id", "left").select(
+    found = rows.join(added, "doc_id", "left").select(
         "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.col("added").isNull(), F.col("base")).otherwise(text).alias("spans"), F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("long").alias("n_added")
     )
+    return returned(found, back)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, texts
+from .common import BROADCAST_IDS, Scratch, keyed, returned, texts
 from .hashing import BUFFER, mix, prefix_hashes, range_hashes
 
 LENGTH, GRAM = 100, 48
@@ -329,22 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     of their texts' SHA-256; rows that repeat both doc_id and text are one document, and get its result each.
     """
     scratch, docs = Scratch(docs.sparkSession, "substrings"), texts(docs)
+    docs, back = keyed(docs, scratch)
     digests = scratch.keep(docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")), "digests")
-    if digests.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return _removed(docs, digests, length, gram, with_bytes, scratch)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = digests.select("doc_id", "sha", "n").distinct().repartitionByRange(shards, "doc_id", "sha").sortWithinPartitions("doc_id", "sha")
-    # ascending with the place in this order
-    rows = scratch.keep(rows.withColumn("key", F.monotonically_increasing_id()), "keys")
-    own = docs.withColumn("sha", F.sha2("text", 256)).join(rows, ["doc_id", "sha"]).select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    own = scratch.keep(own, "documents")
-    found = _removed(own, rows.select(F.col("key").alias("doc_id"), "sha", "n"), length, gram, with_bytes, scratch).withColumnRenamed("doc_id", "key")
-    every = digests.select("doc_id", "sha").join(rows.select("doc_id", "sha", "key"), ["doc_id", "sha"]).select("doc_id", "key")
-    return every.join(found, "key").drop("key")
-
-
-def _removed(docs: DataFrame, digests: DataFrame, length: int, gram: int, with_bytes: bool, scratch: Scratch) -> DataFrame:
-    """remove_repeats for docs whose doc_id is a key; digests: doc_id, sha, n."""
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = scratch.keep(digests.join(firsts, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
@@ -373,4 +359,4 @@ def _removed(docs: DataFrame, digests: DataFrame, length: int, gram: int, with_b
 
     copied = copies.withColumn("copy", F.lit(True))
     joined = docs.join(F.broadcast(copied) if few else copied, "doc_id", "left").join(spans, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return returned(joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), back)
