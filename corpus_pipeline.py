@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage takes the documents that the stage before kept, and the last packs their tokens."""
+"""A corpus pipeline: each stage takes the documents that the stage before kept, and the last packs their tokens.
+
+Rows without doc_id leave at the first stage. Null texts count as empty. Rows that repeat a doc_id stay or go together.
+Columns beside those of documents don't pass; an empty table gives empty stages.
+"""
 
 from __future__ import annotations
 
@@ -18,23 +22,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letters, are foreign to all known languages, or whose language isn't sure."""
     return drop_rejected(docs).select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (each run of ASCII white space counting as one space), the smallest doc_id stays."""
     return drop_copies(docs).select(COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more; the smallest doc_id of a group stays."""
+    """Five-word shingles, similarity of 0.8 or more; the smallest doc_id of a group stays, and all texts without words do."""
     return drop_near_copies(docs, 5, 80, 100).select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that cover 0.6 of a benchmark item's words with tiles of five words or more, in whatever order."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document's ids and their places in sequences of 1024, as op1_packing gives them."""
     import public_tokenizers
 
     return pack_documents(docs, partial(encoder, public_tokenizers.path("byte_bpe_50k.json"), 2), 1024)
