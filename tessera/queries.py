@@ -365,7 +365,10 @@ def _weighed_sql(naming: float, least: float, most: float) -> str:
 
 for _preset, _given in (("default", (0.85, 0.5, 0.8)), ("high_precision", (0.75, 0.7, 0.9)), ("high_recall", (0.90, 0.4, 0.6))):
     add(f"infer_weighed_{_preset}", lambda spark, d, preset=_preset: _weighed(spark, d, preset), _weighed_sql(*_given))
-add("infer_verdict", lambda spark, d: _verdict(spark, d), "SELECT *, round(100.0 * pct / 100, 4)::DOUBLE AS join_factor FROM (SELECT 'events' AS from_table, 100.0::DOUBLE AS pct, true AS foreign_key) UNION ALL SELECT 'shifted', round(100.0 * count(*) FILTER (WHERE c_custkey + 100 IN (SELECT c_custkey FROM customer)) / count(*), 4)::DOUBLE, false, round(count(*) FILTER (WHERE c_custkey + 100 IN (SELECT c_custkey FROM customer)) / count(*), 6)::DOUBLE FROM (SELECT DISTINCT c_custkey FROM customer ORDER BY 1 LIMIT 1000)".replace("round(100.0 * pct / 100, 4)", "round(pct / 100, 6)"))
+add("infer_verdict", lambda spark, d: _verdict(spark, d),
+    """WITH v AS (SELECT DISTINCT user_id AS k, 'events' AS from_table FROM events UNION ALL SELECT k, 'shifted' FROM (SELECT DISTINCT c_custkey + 100 AS k FROM customer ORDER BY 1 LIMIT 1000)),
+    s AS (SELECT from_table, count(*) AS sampled, count(*) FILTER (WHERE k IN (SELECT c_custkey FROM customer)) AS matched FROM v GROUP BY 1)
+    SELECT from_table, round(100.0 * matched / sampled, 4)::DOUBLE AS pct, matched = sampled AS foreign_key, round(round(100.0 * matched / sampled, 4) / 100, 6)::DOUBLE AS join_factor FROM s""")
 
 
 def _verdict(spark, d) -> DataFrame:
