@@ -55,6 +55,31 @@ def test_exact(spark, digest):
     assert rows(kept, "doc_id") == [(w[0],) for w in want if w[3]]
 
 
+def test_merge_index(spark):
+    """Runs, levels and filters against a dictionary: whatever the batches, each digest once with least id and count."""
+    r = random.Random(5)
+    batches = [[(r.randrange(3000).to_bytes(2, "big"), r.randrange(10**6)) for _ in range(n)] for n in (900, 0, 1500, 1, 700, 1200, 300)]
+    index, want = exact_dedup.MergeIndex(Scratch(spark, "test-index")), {}
+    for batch in batches:
+        index.add(spark.createDataFrame(batch, "digest binary, doc_id long").repartition(3))
+        for d, i in batch:
+            want[d] = (min(want.get(d, (i, 0))[0], i), want.get(d, (i, 0))[1] + 1)
+        assert all(len(level) < exact_dedup.FANOUT for level in index.levels)
+    assert [len(level) for level in index.levels] == [0, 1, 1]  # six runs that aren't empty
+    got = [(bytes(d), k, n) for d, k, n in rows(index.compact(), "digest", "keep_id", "n")]
+    assert got == sorted((d, *v) for d, v in want.items())
+
+
+@pytest.mark.parametrize("bitmaps", [exact_dedup.BROADCAST_BITMAPS, 0])
+def test_filter(spark, monkeypatch, bitmaps):
+    """A filter lets all of its run's digests through and few others, broadcast or joined."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BITMAPS", bitmaps)
+    entries = spark.range(20_000).selectExpr("unhex(sha2(string(id), 256)) AS digest", "id AS keep_id", "1L AS n")
+    run = exact_dedup.Run(Scratch(spark, "test-filter"), entries.where("keep_id < 10000"), "run")
+    hit = {r.keep_id for r in run.probed(entries).where("hit").collect()}
+    assert hit >= set(range(10_000)) and len(hit) < 10_000 + 10_000 // exact_dedup.FILTER_BITS * 1.2
+
+
 def brute_sets(found, k):
     out = []
     for t in found:
