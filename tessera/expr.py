@@ -223,6 +223,32 @@ class Over(Expr):
     frame: tuple | None = field(default=None)  # (unit, start, end); None is unbounded, 0 the current row
 
 
+@dataclass(frozen=True)
+class Raw(Expr):
+    """Spark SQL text as it is, but for references in braces: "{customer.c_name} rlike '^A'"."""
+
+    text: str
+    references: tuple
+
+
+_REFERENCE = re.compile(r"\{([A-Za-z_]\w*)(?:\.([A-Za-z_]\w*))?\}")
+
+
+def raw(text: str) -> Raw:
+    return Raw(text, tuple(Col(m[2], m[1]) if m[2] else Col(m[1]) for m in _REFERENCE.finditer(text)))
+
+
+def compile_raw(e: Raw, resolve: Resolve) -> Column:
+    names = []
+    for c in e.references:
+        shown = re.fullmatch(r"Column<'([\w.]+)'>", str(resolve(c)))
+        if not shown:
+            raise InvalidReference(f"raw SQL can't name {c.name}: give the column a plain name")
+        names.append(".".join(f"`{part}`" for part in shown[1].split(".")))
+    left = iter(names)
+    return F.expr(_REFERENCE.sub(lambda _: next(left), e.text))
+
+
 Resolve = Callable[[Col], Column]
 
 
@@ -259,6 +285,8 @@ def compile(e: Expr, resolve: Resolve) -> Column:
             return F.lit(value)
         case Star():
             return F.expr("*")
+        case Raw():
+            return compile_raw(e, resolve)
         case Interval(amount, unit):
             return F.expr(f"interval {int(amount)} {unit}")
         case Unary("not", x):

@@ -347,6 +347,16 @@ class Model:
         kind[made.name] = made
         return made
 
+    def use(self, other: Model) -> Model:
+        """All that another model declares; a name that both declare is an error, a link that both have is one."""
+        for kind in ("sources", "dimensions", "facts", "tables", "queries", "reports", "pivots"):
+            own, theirs = getattr(self, kind), getattr(other, kind)
+            if both := own.keys() & theirs.keys():
+                raise InvalidModel(f"declared twice: {', '.join(sorted(both))}")
+            own.update(theirs)
+        self.relationships += [r for r in other.relationships if r not in self.relationships]
+        return self
+
     def source(self, name: str) -> Source:
         return self._declare(self.sources, Source(name))
 

@@ -8,6 +8,7 @@ of aggregates however many facts there are, and treats nulls as equal.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..expr import Binary, Call, Col, Expr, Lit, Star, Unary, compile, compile_call, expression, quotient, sorted_by
+from ..expr import Binary, Call, Cast, Col, Expr, Interval, Lit, Star, Unary, compile, compile_call, expression, quotient, sorted_by
 from ..graph import JoinGraph
 from ..model import GRAINS, Dimension, Fact, Measure, Model, Source, Table
 from ..operators.build import dimension_frame, fact_frame, source_frame, table_frame
@@ -446,6 +447,29 @@ class Report:
     filters: list = field(default_factory=list)
     order_by: list[str] = field(default_factory=list)
     limit: int | None = None
+    #: "last_30_days", "last_12_months", ...: of time_column, up to as_of (a date; today if not given), which is included
+    time_range: str | None = None
+    time_column: str | None = None
+    as_of: str | None = None
+
+    def period(self) -> list[Expr]:
+        """The time range as filters."""
+        if self.time_range is None:
+            return []
+        found = re.fullmatch(r"last_(\d+)_(day|week|month|quarter|year)s?", self.time_range)
+        if not found or not self.time_column:
+            raise errors.QueryPlanError(f"a time range is last_<n>_<unit>s of a time_column: {self.time_range}")
+        at, end = expression(self.time_column), Cast(Lit(self.as_of), "date") if self.as_of else Call("current_date")
+        return [at.gt(end - Interval(int(found[1]), found[2])), at.lte(end)]
+
+
+#: Formats of a pivot's values by name; others are patterns of printf. A percent is a share times a hundred.
+FORMATS = {"currency": lambda c: F.concat(F.when(c < 0, F.lit("-$")).otherwise(F.lit("$")), F.format_number(F.abs(c), 2)), "percent": lambda c: F.format_string("%.1f%%", c.cast("double") * 100)}
+
+
+def formatted(c: Column, pattern: str) -> Column:
+    """As text; null stays null."""
+    return F.when(c.isNotNull(), FORMATS[pattern](c) if pattern in FORMATS else F.format_string(pattern, c))
 
 
 #: Values that a pivot without column_values may find.
@@ -455,7 +479,8 @@ MOST_PIVOT_VALUES = 10_000
 @dataclass
 class Pivot:
     """rows x columns of values (measures). column_values: those to show, else all that occur. totals: any of "rows" (a
-    Total_<measure> for each row), "columns" and "grand" (a row of totals, is_total). sort: (measure, descending)."""
+    Total_<measure> for each row), "columns" and "grand" (a row of totals, is_total). sort: (measure, descending). formats: by measure, "currency", "percent" or a printf pattern;
+    its columns become text."""
 
     rows: list
     column: str
@@ -464,13 +489,14 @@ class Pivot:
     totals: tuple[str, ...] = ()
     filters: list = field(default_factory=list)
     sort: tuple[str, bool] | None = None
+    formats: dict[str, str] = field(default_factory=dict)
 
 
 def plan_report(planner: Planner, report: Report) -> DataFrame:
     parts = [MeasureRef(n) for n in report.measures]
     facts = list(dict.fromkeys(planner.fact_of(p, None) for p in parts))
     names = [f"{planner.fact_of(p, None)}_{p.name.rpartition('.')[2]}" for p in parts]
-    keys, where = planner.keys(report.group_by), [expression(f) for f in report.filters]
+    keys, where = planner.keys(report.group_by), [expression(f) for f in report.filters] + report.period()
     if len(facts) > 1 and not keys:
         raise errors.QueryPlanError("a report on several facts needs group_by")
     for w in where:
@@ -519,6 +545,9 @@ def plan_pivot(planner: Planner, pivot: Pivot) -> DataFrame:
         out = out.orderBy(*first, sorted_by(F.col(f"Total_{name.rpartition('.')[2]}"), descending), *[F.col(n) for _, n in keys])
         if not {"rows", "grand"} & set(pivot.totals):
             out = out.drop(*[f"Total_{short[p]}" for p in parts])
-    return out
+    if unknown := set(pivot.formats) - set(pivot.values):
+        raise errors.QueryPlanError(f"formats for measures that the pivot doesn't show: {', '.join(sorted(unknown))}")
+    texts = {f"{v}_{short[p]}": pivot.formats[p.name] for p in parts if p.name in pivot.formats for v in [*values, "Total"]}
+    return out.select(*[formatted(F.col(f"`{n}`"), texts[n]).alias(n) if n in texts else F.col(f"`{n}`") for n in out.columns]) if texts else out
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .expr import compile, expression, parse
+from .expr import compile, expression, parse, raw
 from .fixtures import engine, model, reader
 from .infer import candidates, classify, inferred, join_factor, suggests_foreign_key
 from .lineage import LineageGraph
@@ -134,6 +134,12 @@ semantic("pivot_multi_measure", Pivot(["customer.c_mktsegment"], "sales.o_orders
 _TOT = f"{PIVN}, {PIVA}, count(*) AS \"Total_order_count\", round(avg(o_totalprice), 2) AS \"Total_avg_price\""
 semantic("pivot_totals", Pivot(["customer.c_mktsegment"], "sales.o_orderstatus", ["sales.order_count", "sales.avg_price"], ["F", "O"], totals=("rows", "columns", "grand"), sort=("sales.order_count", True)),
          f"SELECT c_mktsegment, {_TOT}, false AS is_total FROM {OC} GROUP BY 1 UNION ALL SELECT NULL, {_TOT}, true FROM {OC}")
+semantic("report_time_range", Report(["sales.revenue", "sales.order_count"], ["nation.n_name"], time_range="last_6_months", time_column="sales.order_date", as_of="1996-06-30"),
+         f"SELECT n_name, {REV} AS sales_revenue, {N} AS sales_order_count FROM {OCN} WHERE CAST(o_orderdate AS date) > DATE '1995-12-30' AND CAST(o_orderdate AS date) <= DATE '1996-06-30' GROUP BY 1")
+semantic("pivot_formats", Pivot(["customer.c_mktsegment"], "sales.o_orderstatus", ["sales.order_count", "sales.customers"], ["F", "O"], totals=("rows",), formats={"sales.order_count": "currency", "sales.customers": "%05d"}),
+         "SELECT c_mktsegment, " + ", ".join(f"'$' || format('{{:,}}', count(*) {f}) || '.00' AS \"{s}_order_count\", lpad(CAST(count(DISTINCT o_custkey) {f} AS varchar), 5, '0') AS \"{s}_customers\"" for s, f in (("F", "FILTER (WHERE o_orderstatus = 'F')"), ("O", "FILTER (WHERE o_orderstatus = 'O')"), ("Total", ""))) + f" FROM {OC} GROUP BY 1")
+semantic("sem_raw_filter", Query(["customer.c_mktsegment"], [m("sales.order_count")], [raw("{customer.c_name} rlike '[02468]$' AND {sales.o_totalprice} > 1000")]),
+         f"SELECT c_mktsegment, {N} AS order_count FROM {OC} WHERE regexp_matches(c_name, '[02468]$') AND o_totalprice > 1000 GROUP BY 1")
 
 
 # --- relational builder -------------------------------------------------------------------------------------------------
