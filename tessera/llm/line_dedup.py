@@ -15,6 +15,7 @@ whose profiles are further apart than 2 * EDITS can't be alike.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .hashing import BASE, mix, powers
 EDITS, TENTH = 2, 10
 #: Lines that meet at one key, above which only lines not connected otherwise are paired.
 CROWDED = 12
+#: Lines that may need a name of their own: 24 bytes each, on the driver and in every worker.
+MOST_RENAMED = 1_000_000
 #: Counts in a line's profile.
 KINDS = 32
 #: Characters that are hashed at a time.
@@ -117,6 +120,48 @@ def line_id(line: str) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
+class Names:
+    """A long for each line, no two alike: the first half of its 128 bits, or for the few lines whose half another line
+    has, too, one of their own (see renamed)."""
+
+    def __init__(self, identify=line_id, others: dict[tuple[int, int], int] | None = None):
+        self.identify, self.others = identify, others or {}
+
+    def __call__(self, line: str) -> int:
+        found = self.identify(line)
+        return self.others.get(found, found[0]) if self.others else found[0]
+
+
+def renamed(places: DataFrame, scratch: Scratch) -> dict[tuple[int, int], int]:
+    """Names for all but one of the lines that share h1. Of n different lines about n * n / 2^65 do, a million of some 6e12,
+    so they fit in memory; more than MOST_RENAMED are an error."""
+    halves = places.groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).where("low <> high").select("h1", "low")
+    halves = scratch.keep(halves, "halves")
+    if halves.isEmpty():
+        return {}
+    some = halves.count()
+    if some > MOST_RENAMED:
+        raise ValueError(f"{some} first halves of lines' hashes meet; the bound is {MOST_RENAMED}")
+    others = places.join(F.broadcast(halves), "h1").where("h2 <> low").select("h1", "h2").distinct().limit(MOST_RENAMED + 1).collect()
+    if len(others) > MOST_RENAMED:
+        raise ValueError(f"more than {MOST_RENAMED} lines share the first halves of their hashes")
+    out: dict[tuple[int, int], int] = {}
+    left, taken, salt = [tuple(r) for r in others], set(), 0
+    while left:  # a new name may be some line's, too; such lines get another
+        tried = {line: xxhash.xxh3_64_intdigest(repr(line).encode(), salt) - (1 << 63) for line in left}
+        new = places.sparkSession.createDataFrame([(n,) for n in set(tried.values())], "h1 long")
+        used = taken | {r[0] for r in places.join(F.broadcast(new), "h1", "left_semi").select("h1").distinct().collect()}
+        left, salt = [], salt + 1
+        for line, name in tried.items():
+            if name in used:
+                left.append(line)
+            else:
+                out[line] = name
+                used.add(name)
+                taken.add(name)
+    return out
+
+
 def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line's number, key, listed) of the lines' own segments (listed) and of those that they look for."""
     sizes = np.array([len(x) for x in lines], np.int64)
@@ -148,13 +193,13 @@ def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _PLACES = "h1 long, h2 long, doc_id long, line int"
 
 
-def _placed(found):
+def _placed(identify, found):
     for batch in found:
         h1, h2, docs, numbers = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for i, line in enumerate(lines_of(text.as_py())):
                 if line and not line.isspace():
-                    a, b = line_id(line)
+                    a, b = identify(line)
                     h1.append(a)
                     h2.append(b)
                     docs.append(doc)
@@ -163,7 +208,7 @@ def _placed(found):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((h1, h2, docs, numbers), kinds, strict=True)], ["h1", "h2", "doc_id", "line"])
 
 
-def _keyed(found):
+def _keyed(names: Names, found):
     """(key, line, listed); a line that the task has just seen isn't listed again."""
     seen: set[int] = set()
     held: list[str] = []
@@ -173,17 +218,17 @@ def _keyed(found):
     def flush():
         if held:
             number, key, own = segment_keys(held)
-            names = np.array(ids, np.int64)[number]
+            lines = np.array(ids, np.int64)[number]
             for a in range(0, len(key), 200_000):
                 b = a + 200_000
-                yield pa.RecordBatch.from_arrays([pa.array(key[a:b].view(np.int64)), pa.array(names[a:b]), pa.array(own[a:b])], ["key", "line", "listed"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a:b].view(np.int64)), pa.array(lines[a:b]), pa.array(own[a:b])], ["key", "line", "listed"])
 
     for batch in found:
         for text in batch.column(1):
             for line in lines_of(text.as_py()):
                 if len(line) < TENTH - 1 or line.isspace():
                     continue
-                name = line_id(line)[0]
+                name = names(line)
                 if name in seen:
                     continue
                 if len(seen) > 500_000:
@@ -301,17 +346,17 @@ def _open_pairs(found):
         yield _met(left, right)
 
 
-def _contents(ids: DataFrame, n_ids: int, docs: DataFrame) -> DataFrame:
-    """(h1, content) of the lines whose h1 is among ids; the texts come out of the documents."""
+def _contents(ids: DataFrame, n_ids: int, docs: DataFrame, names: Names) -> DataFrame:
+    """(name, content) of the lines whose name is among ids; the texts come out of the documents."""
 
     def read(found):
         for batch in found:
             out: dict[str, int] = {}
             for text in batch.column(1):
-                out.update((line, line_id(line)[0]) for line in lines_of(text.as_py()) if len(line) >= TENTH - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out.values()), pa.int64()), pa.array(list(out), pa.string())], ["h1", "content"])
+                out.update((line, names(line)) for line in lines_of(text.as_py()) if len(line) >= TENTH - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out.values()), pa.int64()), pa.array(list(out), pa.string())], ["name", "content"])
 
-    return only_ids(docs.mapInArrow(read, "h1 long, content string"), ids, n_ids, "h1").dropDuplicates(["h1"])
+    return only_ids(docs.mapInArrow(read, "name long, content string"), ids, n_ids, "name").dropDuplicates(["name"])
 
 
 def _profiled(found):
@@ -319,13 +364,13 @@ def _profiled(found):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([profile(x) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "profile"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, names: Names, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of lines that are alike."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "ids")
+    ids = scratch.keep(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct(), "ids")
     n_ids = ids.count()
     if not n_ids:
         return pairs
-    content = scratch.keep(_contents(ids, n_ids, docs), "content")
+    content = scratch.keep(_contents(ids, n_ids, docs, names), "content")
 
     def compare(found):
         for batch in found:
@@ -335,31 +380,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
                 good.append(edit_distance(x, y, most) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one, two = (content.select(F.col("h1").alias(n), F.col("content").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+    one, two = (content.select(F.col("name").alias(n), F.col("content").alias(c)) for n, c in (("a", "x"), ("b", "y")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text). (places of all lines, places of those that go): h1, h2, doc_id, line (from 0)."""
+def removed_lines(docs: DataFrame, scratch: Scratch, identify=line_id) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text). (places of all lines, places of those that go): h1, h2, doc_id, line (from 0). identify may be
+    replaced in tests, to make halves of hashes meet."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = scratch.keep(docs.mapInArrow(_placed, _PLACES), "places")
-    keyed = docs.mapInArrow(_keyed, "key long, line long, listed boolean").repartition(shards, "key").sortWithinPartitions("key", "line")
+    places = scratch.keep(docs.mapInArrow(partial(_placed, identify), _PLACES), "places")
+    names = Names(identify, renamed(places, scratch))
+    keyed = docs.mapInArrow(partial(_keyed, names), "key long, line long, listed boolean").repartition(shards, "key").sortWithinPartitions("key", "line")
     met = scratch.keep(keyed.mapInArrow(_candidates, _MET), "met")
     pairs = scratch.keep(met.where("key is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    links = scratch.keep(_verified(pairs, docs, scratch), "links")
+    links = scratch.keep(_verified(pairs, docs, names, scratch), "links")
     joined = components(links, scratch)
     hot = met.where("key is not null").select("key", F.col("a").alias("node"), "listed")
     if not hot.isEmpty():
         hot = hot.join(joined, "node", "left").select("key", F.col("node").alias("line"), F.coalesce("component", "node").alias("component"), "listed")
-        ids = scratch.keep(hot.select(F.col("line").alias("h1")).distinct(), "crowded")
-        profiles = scratch.keep(_contents(ids, ids.count(), docs).mapInArrow(_profiled, "node long, profile binary"), "profiles")
+        ids = scratch.keep(hot.select(F.col("line").alias("name")).distinct(), "crowded")
+        profiles = scratch.keep(_contents(ids, ids.count(), docs, names).mapInArrow(_profiled, "node long, profile binary"), "profiles")
         hot = hot.join(profiles.withColumnRenamed("node", "line"), "line").select("key", "line", "component", "listed", "profile")
         more = hot.repartition(shards, "key").sortWithinPartitions("key", "line").mapInArrow(_open_pairs, _MET)
         more = scratch.keep(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "open-pairs")
-        second = scratch.keep(_verified(more, docs, scratch), "more-links")
+        second = scratch.keep(_verified(more, docs, names, scratch), "more-links")
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch)
     lines = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    lines = lines.join(joined.withColumnRenamed("node", "h1"), "h1", "left")
+    lines = lines.withColumn("name", F.col("h1"))
+    if names.others:
+        others = docs.sparkSession.createDataFrame([(*line, name) for line, name in names.others.items()], "h1 long, h2 long, other long")
+        lines = lines.join(F.broadcast(others), ["h1", "h2"], "left").withColumn("name", F.coalesce("other", "h1")).drop("other")
+    lines = lines.join(joined.withColumnRenamed("node", "name"), "name", "left")
     lines = scratch.keep(lines.where("n > 1 or component is not null"), "lines")
     groups = lines.where("component is not null").groupBy("component").agg(F.min("first").alias("group_first"))
     keepers = lines.join(groups, "component", "left").select("h1", "h2", F.coalesce("group_first", "first").alias("keep"))

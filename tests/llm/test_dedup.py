@@ -209,6 +209,24 @@ def test_lines(spark):
     assert got == brute_lines(found)
 
 
+def test_lines_whose_names_meet(spark):
+    """First halves of 4 bits: all but 16 lines get names of their own, and nothing else changes."""
+
+    def identify(line):
+        h = int.from_bytes(hashlib.md5(line.encode()).digest()[:8], "big") >> 1
+        return h % 16, h
+
+    found = texts(6, 60)
+    docs = frame(spark, found).where("doc_id is not null").selectExpr("doc_id", "coalesce(text, '') AS text")
+    places, gone = line_dedup.removed_lines(docs, Scratch(spark, "test-names"), identify)
+    named = line_dedup.renamed(places, Scratch(spark, "test-names"))
+    assert len(named) == len(set(named.values())) > 16 and not set(named.values()) & set(range(16))
+    n_gone = defaultdict(int)
+    for (doc,) in rows(gone, "doc_id"):
+        n_gone[doc] += 1
+    assert [(d, n_gone[d]) for d, *_ in brute_lines(found)] == [(d, n) for d, _, n, _ in brute_lines(found)]
+
+
 def test_profiles_of_alike_lines_are_near():
     rng = random.Random(5)
     for _ in range(300):
