@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..expr import Col, Expr, Over, compile, expression, sorted_by
+from .windows import Sliced
 
 HOWS = {"inner": "inner", "left": "left", "right": "right", "full": "full_outer", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
 
@@ -44,21 +45,27 @@ class Relation:
         return Relation(self.df.select(*plain, *[compile(expression(e), self._resolve).alias(n) for n, e in named.items()]))
 
     def _with_groups(self, plain: list[Column], named: dict) -> Relation:
-        """GROUPS frames: rows of equal order are one step, so the frame is a range over their dense rank."""
-        df, out = self.df, []
-        for n, e in named.items():
+        """GROUPS frames: rows of equal order are one step, so the frame is a range over their dense rank. Large tables are
+        cut into slices; with a frame that has no end on a side, a partition stays in one task."""
+        df, out, windows = self.df, [], {}
+        for i, (n, e) in enumerate(named.items()):
             made = expression(e)
             if isinstance(made, Over) and made.frame and made.frame[0] == "groups":
-                partition = [compile(p, self._resolve) for p in made.partition]
-                order = [sorted_by(compile(x, self._resolve), down, first) for x, down, first in made.order]
-                step = f"_step_{n}"
-                df = df.withColumn(step, F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
-                ranged = Over(made.call, made.partition, ((Col(step), False, None),), ("range", *made.frame[1:]))
-                out.append(compile(ranged, self._resolve).alias(n))
+                windows.setdefault((made.partition, made.order, made.frame[1:]), {})[f"_frame_{i}"] = made.call
+                out.append(F.col(f"_frame_{i}").alias(n))
             else:
                 out.append(compile(made, self._resolve).alias(n))
-        own = set(df.columns) - set(self.df.columns)
-        return Relation(df.select(*plain, *out).drop(*own) if own else df.select(*plain, *out))
+        for (partition, order, frame), calls in windows.items():
+            by, keys = [compile(p, self._resolve) for p in partition], [(compile(x, self._resolve), down, first) for x, down, first in order]
+            sliced = Sliced(self.df, by, keys) if None not in frame and order else None
+            sort = [sorted_by(*k) for k in keys]
+            if sliced and sliced.bounds:
+                df, within = sliced.copied(df, *frame, sort), (Col("_frame_slice"), *partition)
+            else:
+                df, within = df.withColumn("_frame_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(*sort))), partition
+            df = df.select("*", *[compile(Over(call, within, ((Col("_frame_rank"), False, None),), ("range", *frame)), self._resolve).alias(n) for n, call in calls.items()])
+            df = df.where("_frame_own").drop("_frame_own", "_frame_slice", "_frame_rank") if sliced and sliced.bounds else df.drop("_frame_rank")
+        return Relation(df.select(*plain, *out).drop(*(set(df.columns) - set(self.df.columns))))
 
     def where(self, *conditions: str | Expr) -> Relation:
         return Relation(reduce(lambda df, c: df.where(compile(expression(c), self._resolve)), conditions, self.df))
