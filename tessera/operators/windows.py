@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 #: Rows of a slice, and sampled rows for each. Fewer rows than a slice aren't cut.
 SLICE_ROWS, SAMPLED = 500_000, 100
+_NAN = float("nan")
 _AS_THEY_ARE = {"string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
@@ -93,7 +94,8 @@ class Sliced:
         names = [f"_{i}" for i in range(len(self.keys))]
         sample = df.select(*[c.alias(n) for n, (c, _, _) in zip(names, self.keys)]).orderBy(F.rand(1)).limit(cuts * SAMPLED)
         found = sample.orderBy(*[getattr(F.col(n), f"{'desc' if down else 'asc'}_nulls_{'first' if first else 'last'}")() for n, (_, down, first) in zip(names, self.keys)]).collect()
-        self.bounds = [b for b, _ in groupby(tuple(found[i * len(found) // cuts]) for i in range(1, cuts))]
+        # one object for NaN, which Python finds equal only to itself as an object, and Spark to every NaN
+        self.bounds = [b for b, _ in groupby(tuple(_NAN if x != x else x for x in found[i * len(found) // cuts]) for i in range(1, cuts))]
 
     def cells(self) -> list[tuple[tuple, list[tuple[int, int]]]]:
         """Partitions that lie in several slices, with their steps in each; there are fewer of them than slices."""

@@ -27,6 +27,8 @@ def table(spark, tmp_path_factory):
     "order by k desc nulls first groups between 2 preceding and current row",
     "partition by p order by d desc nulls last, k nulls first groups between 3 following and 20 following",
     "order by f, d groups between 7 preceding and 2 preceding",
+    # NaN is a partition of several slices
+    "partition by f order by k groups between 300 preceding and 2 following",
     # reaches over more steps than a slice has
     "partition by p order by k groups between 200 preceding and 10 following",
 ])
